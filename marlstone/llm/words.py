@@ -150,3 +150,20 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     if have < width:
         out = np.minimum(out[: len(x) - width + 1], out[width - have : width - have + len(x) - width + 1])
     return out
+
+
+class Lines:
+    """Which line (separated by newline bytes) of a slice each word is in.
+
+    ``key`` numbers the lines of the slice so that no two rows share one,
+    ``number`` counts from 0 within the row; both have an entry for each word.
+    """
+
+    __slots__ = ("key", "number", "row")
+
+    def __init__(self, s: Slice):
+        newlines = np.flatnonzero(s.data == 10)
+        self.row = s.row_of_word()
+        before = np.searchsorted(newlines, s.starts)
+        self.key = before + self.row
+        self.number = before - np.searchsorted(newlines, s.offsets[:-1])[self.row]
