@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan
+from . import license_scan, line_dedup
 from .bpe import op9_byte_bpe
 from .decontaminate import op6_decontamination
 from .license_scan import op8_license_scan
+from .line_dedup import op7_line_dedup
 from .minhash import op10_near_duplicates
 from .quality import op4_quality
 from .syncmers import op5_fingerprints
 from .token_counts import op1_token_counts
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op4_quality, op5_fingerprints, op6_decontamination, op8_license_scan, op9_byte_bpe, op10_near_duplicates)}
-SQL: dict[str, str] = {"op8_license_scan": license_scan.SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op4_quality, op5_fingerprints, op6_decontamination, op7_line_dedup, op8_license_scan, op9_byte_bpe, op10_near_duplicates)}
+SQL: dict[str, str] = {"op7_line_dedup": line_dedup.SQL, "op8_license_scan": license_scan.SQL}
