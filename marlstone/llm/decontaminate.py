@@ -165,7 +165,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = SENT
                         keep[s.rows.start + row] = False
                 yield batch.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, out.schema)
+        out = common.map_rows(out, run)
     return out
 
 

@@ -197,12 +197,14 @@ def find_candidates(docs: DataFrame) -> DataFrame:
 def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float, np.ndarray]:
     """EM for one kind: (patterns, labelers) of votes and their counts to each labeler's P(vote | class), the share of class 1 and each pattern's posterior.
 
-    Priors worth 10 votes say that a labeler is right four times out of five, so
-    patterns that are rare or all alike don't carry it away.
+    Priors worth 10 votes say that a labeler is right four times out of five (the
+    first, which checks digits and ranges, nearly always), so patterns that are
+    rare or all alike don't carry it away.
     """
     share = 0.5
     table = np.empty((2, votes.shape[1], 3))
     table[0], table[1] = (0.4, 0.5, 0.1), (0.1, 0.5, 0.4)
+    table[0, 0], table[1, 0] = (0.7, 0.26, 0.04), (0.01, 0.39, 0.6)
     prior = 10 * table
     post = np.zeros(len(votes))
     for _ in range(rounds):

@@ -141,7 +141,7 @@ def accepted(docs: DataFrame, model: boosting.Trees, threshold: float = THRESHOL
             keep = [sent.value.probability(statistics(s)) >= threshold for s in slices(batch.column(at), RAW)]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.map_rows(docs, run)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
