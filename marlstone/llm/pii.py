@@ -36,7 +36,7 @@ NAMES = b"Alexander Alexandra Andrew Angela Anthony Barbara Benjamin Brandon Bre
 
 _PATTERNS: dict[str, re.Pattern] = {
     "email": re.compile(rb"(?<![\w.%+-])[A-Za-z0-9\x80-\xff][A-Za-z0-9\x80-\xff._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"),
-    "phone": re.compile(rb"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w)"),
+    "phone": re.compile(rb"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]?\d{3,4}(?!\w|[.-]\d)|(?<![\w.])\+\d{8,15}(?!\w)"),
     "card": re.compile(rb"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)"),
     "ip": re.compile(rb"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)(?![A-Za-z_])"),
     "ssn": re.compile(rb"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
@@ -194,12 +194,17 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     return common.id_and_text(docs).mapInArrow(run, _SPANS)
 
 
-def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, float, np.ndarray]:
+#: Real spans that fail a check of digits or ranges, at most.
+FAILED_CHECK = 0.001
+
+
+def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, checks: tuple[int, ...] = (0,)) -> tuple[np.ndarray, float, np.ndarray]:
     """EM for one kind: (patterns, labelers) of votes and their counts to each labeler's P(vote | class), the share of class 1 and each pattern's posterior.
 
     Priors worth 10 votes say that a labeler is right four times out of five (the
     first, which checks digits and ranges, nearly always), so patterns that are
-    rare or all alike don't carry it away.
+    rare or all alike don't carry it away.  A vote against by one of ``checks``
+    is near proof.
     """
     share = 0.5
     table = np.empty((2, votes.shape[1], 3))
@@ -208,13 +213,18 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[
     prior = 10 * table
     post = np.zeros(len(votes))
     for _ in range(rounds):
-        log = [np.log(p) + sum(np.log(table[c, j, votes[:, j] + 1]) for j in range(votes.shape[1])) for c, p in ((0, 1 - share), (1, share))]
+        # An abstention says nothing.
+        cast = np.log(table / (table[:, :, :1] + table[:, :, 2:]))
+        cast[:, :, 1] = 0
+        log = [np.log(p) + sum(cast[c, j, votes[:, j] + 1] for j in range(votes.shape[1])) for c, p in ((0, 1 - share), (1, share))]
         post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-        share = float((counts @ post + 2) / (counts.sum() + 4))
+        share = min(0.95, max(0.05, float((counts @ post + 2) / (counts.sum() + 4))))
         for c, w in ((0, counts * (1 - post)), (1, counts * post)):
             for j in range(votes.shape[1]):
                 table[c, j] = prior[c, j] + np.bincount(votes[:, j] + 1, w, minlength=3)
                 table[c, j] /= table[c, j].sum()
+        for j in checks:  # nearly all candidates of a strict kind are real, which mustn't outvote a failed check
+            table[1, j, 0] = min(table[1, j, 0], FAILED_CHECK)
     return table, share, post
 
 
@@ -228,6 +238,7 @@ def train(kind: np.ndarray, votes: np.ndarray, bits: np.ndarray, counts: np.ndar
             continue
         c = counts[own].astype(float)
         _, _, post = estimate(codes[own], c)
+        post = np.where((codes[own] > 0).any(axis=1), post, np.minimum(post, 0.1))  # nobody votes for it
         x = np.concatenate([np.ones((own.sum(), 1)), (bits[own][:, None] >> np.arange(FEATURE_BITS)) & 1], axis=1).astype(float)
         w = weights[k]
         scale = c / c.sum() * min(c.sum(), 1000)

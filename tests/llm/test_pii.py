@@ -15,7 +15,7 @@ CLEAN = {50: "version 2.0.", 51: "released in 1999, page 314", 52: "999.888.777.
 
 def documents():
     docs = [(k, f"{sentence(k, 20)} {x} {sentence(k + 1, 20)}\n") for k, (_, x) in FOUND.items()]
-    docs += [(1000 + 10 * c + k, f"é {sentence(c, 9)} {x}.") for k, (_, x) in FOUND.items() for c in range(5)]
+    docs += [(1000 + 100 * c + k, f"é {sentence(c, 9)} {x}.") for k, (_, x) in FOUND.items() for c in range(5)]
     return docs + [(k, f"{sentence(k, 12)} {x} {sentence(k, 5)}") for k, x in CLEAN.items()] + [(300 + i, sentence(i, 60)) for i in range(20)]
 
 
@@ -55,12 +55,19 @@ def test_em_recovers_reliabilities():
     right = (0.95, 0.8, 0.7)
     votes = np.stack([np.where(rng.random(len(y)) < p, y, ~y) * 2 - 1 for p in right], axis=1)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    table, share, post = pii.estimate(patterns, counts.astype(float))
+    table, share, post = pii.estimate(patterns, counts.astype(float), checks=())
     assert abs(share - 0.4) < 0.05
     for j, p in enumerate(right):
         assert abs(table[1, j, 2] - p) < 0.05 and abs(table[0, j, 0] - p) < 0.05
 
 
+def test_many_real_spans_dont_outvote_a_failed_check():
+    votes = np.array([[1, 0, 0, 1], [-1, 0, 0, 1]])
+    for counts in ([6.0, 1.0], [600.0, 10.0], [1e6, 1e3], [10.0, 600.0]):
+        _, _, post = pii.estimate(votes, np.array(counts))
+        assert post[0] > 0.9 and post[1] < 0.2
+
+
 def test_awkward_documents(spark):
     docs = [*AWKWARD, (7, "mail jo.ann@x.example.com now"), (7, "mail jo.ann@x.example.com now"), (None, "mail jo.ann@x.example.com now"), (60, "1" * 50_000), (61, "a@" * 20_000), (62, "1.2.3." * 5000)]
     got = pii.personal_data(frame(spark, docs)).collect()
