@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.lexer import SqlError, name, quote
 from ..operators.recursive import fixpoint
@@ -98,26 +99,31 @@ class Session:
         """A statement with $1, $2, … to be called with their values."""
         return lambda *params: self.execute(text, *params)
 
-    def copy_to(self, text: str) -> Iterator[str]:
-        """The lines of a COPY … TO STDOUT."""
+    def copy_to(self, text: str) -> Iterator[str] | Iterator[bytes]:
+        """The lines of a COPY … TO STDOUT, or the chunks of a binary one."""
         if not self.open:
             self.store.refresh()
         st = self._parse(text, [])
         rows = self._frame(st.query, st.recursive) if st.query else self._frame(f"SELECT {', '.join(map(name, st.columns)) if st.columns else '*'} FROM {self._resolve(st.table)}", [])
         if st.format == "binary":
-            raise SqlError("0A000", "binary COPY: write Parquet instead")
+            return copying.export_binary(rows)
         return copying.export(rows, st.format, st.delimiter, st.header)
 
-    def copy_from(self, text: str, payload: str) -> Result:
+    def copy_from(self, text: str, payload: str | bytes) -> Result:
         """A COPY … FROM STDIN of a payload, checked like an INSERT and all or nothing."""
         if not self.open:
             self.store.refresh()
         st = self._parse(text, [])
         columns = st.columns or [c["name"] for c in self.store.table(st.table)["columns"]]
-        rows = copying.parse(payload, st.format, st.delimiter, st.header)
+        if st.format == "binary":
+            types = [self.store.schema(st.table)[c] for c in columns]
+            rows = copying.parse_binary(payload, types)
+        else:
+            types = None
+            rows = copying.parse(payload, st.format, st.delimiter, st.header)
         if any(len(r) != len(columns) for r in rows):
             raise SqlError("22P04", "a line has another number of columns")
-        frame = self.spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"{name(c)} string" for c in columns))
+        frame = self.spark.createDataFrame([tuple(r) for r in rows], T.StructType(types) if types else ", ".join(f"{name(c)} string" for c in columns))
         out = self._insert(st.table, columns, frame)
         if not self.open:
             self._check_pending()

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import csv
+import datetime
 import io
+import struct
 from collections.abc import Iterator
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _ESCAPES = (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"))
 
@@ -75,3 +79,88 @@ def _unescape(text: str) -> str:
             out.append(text[i])
             i += 1
     return "".join(out)
+
+
+# Binary: a signature, then for each row a field count and length-prefixed fields in network order.
+
+SIGNATURE = b"PGCOPY\n\xff\r\n\0"
+_DAY, _TIME = datetime.date(2000, 1, 1), datetime.datetime(2000, 1, 1)
+_PACKED = {T.ShortType: ">h", T.IntegerType: ">i", T.LongType: ">q", T.FloatType: ">f", T.DoubleType: ">d", T.BooleanType: ">?"}
+
+
+def _numeric(value: Decimal) -> bytes:
+    """Base-10000 digits with weight, sign and scale."""
+    sign, digits, exponent = value.as_tuple()
+    scale = max(-exponent, 0)
+    text = ("".join(map(str, digits)) + "0" * max(exponent, 0)).rjust(scale + 1, "0")
+    whole, part = text[: len(text) - scale], text[len(text) - scale :]
+    whole = whole.rjust(-(-len(whole) // 4) * 4, "0")
+    part = part.ljust(-(-len(part) // 4) * 4, "0")
+    groups = [int((whole + part)[i : i + 4]) for i in range(0, len(whole + part), 4)]
+    weight = len(whole) // 4 - 1
+    while groups and groups[0] == 0:
+        groups, weight = groups[1:], weight - 1
+    while groups and groups[-1] == 0:
+        groups.pop()
+    return struct.pack(f">hhHh{len(groups)}h", len(groups), weight if groups else 0, 0x4000 if sign else 0, scale, *groups)
+
+
+def _read_numeric(data: bytes) -> Decimal:
+    n, weight, sign, scale = struct.unpack_from(">hhHh", data)
+    total = sum((Decimal(g) * Decimal(10000) ** (weight - i) for i, g in enumerate(struct.unpack_from(f">{n}h", data, 8))), Decimal(0))
+    return (-total if sign == 0x4000 else total).quantize(Decimal(1).scaleb(-scale))
+
+
+def _field(value, kind: T.DataType) -> bytes:
+    if type(kind) in _PACKED:
+        return struct.pack(_PACKED[type(kind)], value)
+    if isinstance(kind, T.DecimalType):
+        return _numeric(value)
+    if isinstance(kind, T.DateType):
+        return struct.pack(">i", (value - _DAY).days)
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return struct.pack(">q", (value.replace(tzinfo=None) - _TIME) // datetime.timedelta(microseconds=1))
+    return bytes(value) if isinstance(kind, T.BinaryType) else str(value).encode()
+
+
+def _value(data: bytes, kind: T.DataType):
+    if type(kind) in _PACKED:
+        return struct.unpack(_PACKED[type(kind)], data)[0]
+    if isinstance(kind, T.DecimalType):
+        return _read_numeric(data)
+    if isinstance(kind, T.DateType):
+        return _DAY + datetime.timedelta(days=struct.unpack(">i", data)[0])
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return _TIME + datetime.timedelta(microseconds=struct.unpack(">q", data)[0])
+    return data if isinstance(kind, T.BinaryType) else data.decode()
+
+
+def export_binary(df: DataFrame) -> Iterator[bytes]:
+    """The chunks of a binary COPY TO STDOUT, a row at a time."""
+    yield SIGNATURE + struct.pack(">ii", 0, 0)
+    kinds = [f.dataType for f in df.schema]
+    for row in df.toLocalIterator():
+        out = [struct.pack(">h", len(kinds))]
+        for value, kind in zip(row, kinds):
+            data = None if value is None else _field(value, kind)
+            out.append(struct.pack(">i", -1) if data is None else struct.pack(">i", len(data)) + data)
+        yield b"".join(out)
+    yield struct.pack(">h", -1)
+
+
+def parse_binary(payload: bytes, schema: T.StructType) -> list[tuple]:
+    """Rows of a binary COPY FROM STDIN payload, by the types of the columns."""
+    if not payload.startswith(SIGNATURE):
+        raise ValueError("the binary COPY signature is missing")
+    at = len(SIGNATURE) + 8 + struct.unpack_from(">i", payload, len(SIGNATURE) + 4)[0]
+    rows = []
+    while (n := struct.unpack_from(">h", payload, at)[0]) >= 0:
+        at += 2
+        row = []
+        for f in range(n):
+            size = struct.unpack_from(">i", payload, at)[0]
+            at += 4
+            row.append(None if size < 0 else _value(payload[at : at + size], schema[f].dataType))
+            at += max(size, 0)
+        rows.append(tuple(row))
+    return rows
