@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -22,10 +25,19 @@ def session(app: str = "marlstone", **extra: str) -> SparkSession:
     return prepare(builder.getOrCreate())
 
 
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it (on a cluster: installed there, or sent with --py-files)."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Set what can still be set on a running session, and register the JSON functions."""
     from .functions.jsonb import register
 
+    reachable(spark)
     for key, value in SETTINGS.items():
         if not key.startswith("spark.sql.adaptive"):
             spark.conf.set(key, value)
