@@ -10,10 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import reachable
+
 NULL_ID = -(1 << 63)  # stands for a null doc_id where rows are ordered or joined
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,16 +38,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
+    reachable(spark)
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Only doc_id and text, whatever other columns there are."""
+    reachable(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def map_rows(docs: DataFrame, run) -> DataFrame:
     """docs.mapInArrow(run) for a run that returns rows as they are, whatever the columns are called."""
+    reachable(docs.sparkSession)
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 

@@ -105,6 +105,7 @@ def _item_words(benchmark: DataFrame) -> DataFrame:
             for s in slices(batch.column(1), FOLDED):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.rows.start, len(s)), common.lists(s.hashes.view(np.int64), s.first, pa.int64())], ["item_id", "words"])
 
+    common.reachable(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
     return items.mapInArrow(run, "item_id bigint, words array<bigint>").filter(F.size("words") >= SPAN)
 

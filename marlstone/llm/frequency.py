@@ -47,6 +47,7 @@ def word_counts(docs: DataFrame, byte_table: np.ndarray = RAW, bits: int = BITS)
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), common.blobs([x.tobytes() for x in sums.values()])], ["part", "counts"])
 
     schema = "part int, counts binary"
+    common.reachable(docs.sparkSession)
     total = np.zeros(1 << bits, dtype=np.uint64)
     size = (1 << bits) // PARTS
     for part, counts in docs.select(docs["text"].cast("string")).mapInArrow(count, schema).repartition(PARTS, "part").mapInArrow(add, schema).collect():

@@ -81,6 +81,7 @@ def _keyed(docs: DataFrame) -> tuple:
 
 def signatures(docs: DataFrame, threshold: float, trees: int) -> DataFrame:
     """(d, h, u, sig, paths): of each row with words, its id, text hash, set id, token bytes and root branches."""
+    common.reachable(docs.sparkSession)
     roots = [chosen_coordinates(1000 + tree, threshold) for tree in range(trees)]
     tree, coordinate = np.repeat(np.arange(trees), [len(r) for r in roots]).astype(np.uint64), np.concatenate(roots)
 
