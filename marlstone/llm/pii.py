@@ -128,7 +128,11 @@ def judge(kind: str, span: bytes, before: bytes) -> tuple[tuple[int, int, int, i
 
 FEATURE_BITS = 10
 _HOT = np.zeros(256, dtype=bool)
-_HOT[list(b"@0123456789=")] = True
+_HOT[list(b"@0123456789=:")] = True
+#: What keys are made of; a run of it as short as ``sk-`` and 12 more may be a secret.
+_KEY_BYTE = np.zeros(256, dtype=bool)
+_KEY_BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-")] = True
+SHORTEST_RUN = 15
 _name_hashes = np.unique(next(slices(pa.array([b" ".join(NAMES).decode()]), FOLDED)).hashes)
 _name_quick = np.zeros(1 << 16, dtype=bool)
 _name_quick[(_name_hashes >> np.uint64(48)).astype(np.int64)] = True
@@ -137,10 +141,14 @@ _REACH = 120
 
 def _windows(s: Slice) -> Iterator[tuple[int, int, int]]:
     """(row, from, to): the stretches of a slice, cut at white space, that candidates can lie in."""
-    long_words = np.flatnonzero(s.ends - s.starts >= 32)
+    inside = np.concatenate([[False], _KEY_BYTE[s.data], [False]])
+    cut = np.zeros(len(inside), dtype=bool)
+    cut[s.offsets] = True  # runs end with their rows
+    begins, stops = (np.flatnonzero(x) for x in (inside[1:] & (~inside[:-1] | cut[:-1]), inside[:-1] & (~inside[1:] | cut[:-1])))
+    runs = begins[stops - begins >= SHORTEST_RUN]
     named = np.flatnonzero(_name_quick[(s.hashes >> np.uint64(48)).astype(np.int64)])
     named = named[np.isin(s.hashes[named], _name_hashes)]
-    hot = np.unique(np.concatenate([np.flatnonzero(_HOT[s.data]), s.starts[long_words], s.starts[named]]))
+    hot = np.unique(np.concatenate([np.flatnonzero(_HOT[s.data]), runs, s.starts[named]]))
     if not len(hot):
         return
     row = np.searchsorted(s.offsets, hot, side="right") - 1
