@@ -37,6 +37,14 @@ def test_encoding_is_that_of_the_plain_encoder(spark, chunk, overlap):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("gap", ["\n\n", "\t\t", " \n\n", "\n", "   "])
+def test_white_space_right_before_a_border(spark, gap):
+    docs = [(i, (sentence(i, 40)[: 64 - len(gap) - i] + gap + sentence(70 + i, 40) + gap) * 2) for i in range(3)]
+    encode = vocabulary.encoding().encode_ordinary
+    got = {r[0]: r[1] for r in bpe.encode(frame(spark, docs), chunk=64, overlap=32).collect()}
+    assert got == {k: encode(t) for k, t in docs}
+
+
 def test_long_runs_that_never_resynchronise(spark):
     docs = [(1, "y" * 500), (2, "q" * 40 + " " + "r" * 300), (3, " " * 400 + "z")]
     encode = vocabulary.encoding().encode_ordinary
