@@ -34,19 +34,38 @@ CONTEXT = 40  # bytes before a span that the context labeler reads
 TLDS = frozenset(b"com org net edu gov mil int info biz io ai app dev co uk us ca de fr es it nl be ch at se no fi dk pl pt ie eu ru cn jp kr in br mx ar cl au nz za tr gr cz hu ro bg ua il".split())
 NAMES = b"Alexander Alexandra Andrew Angela Anthony Barbara Benjamin Brandon Brenda Brian Catherine Charles Charlotte Christine Christopher Claudia Cynthia Daniel Deborah Dennis Dorothy Edward Elizabeth Emily Franck Gabriel George Gregory Heather Isabella Jacqueline James Janet Jeffrey Jennifer Jessica Joseph Joshua Julia Katherine Kenneth Kimberly Laura Lawrence Margaret Matthew Melissa Michael Michelle Nancy Natalie Nicholas Olivia Pamela Patricia Patrick Rachel Rebecca Richard Robert Samantha Samuel Sandra Sarah Sharon Sophia Stephanie Stephen Steven Susan Thomas Timothy Vanessa Victoria Virginia Walter William".split()
 
+GIVEN = frozenset(NAMES) | frozenset("Adam Alan Albert Alejandro Alice Amy Ana Anna Anne Antonio Arthur Bernard Camille Carla Carlos Carmen Carol Chloé David Diego Donald Elena Emma Eric Erik Eva Fernando Florian François Frank Franz Friedrich Gary Gerhard Hannah Hans Heinrich Helen Henry Hélène Ingrid Isabel Jack Jacques Jane Jason Javier Jean Joan Johann Johannes John Jonathan Jorge José Juan Julie Jürgen Karen Karl Kevin Klaus Lars Léa Linda Lisa Louis Lucas Lucía Luis Luise Manuel Manon Maria María Marie Mark Markus Martin Mary Max Miguel Monika Nicolas Pablo Paul Pedro Peter Petra Philip Philippe Pierre Rafael Ruth Ryan Sabine Sara Scott Simon Sofía Stefan Sylvie Teresa Thierry Tom Ursula Uwe Véronique Wolfgang Yves".encode().split())
+#: Capitalised words that are hardly ever part of a person's name.
+NO_NAMES = frozenset(b"Academy Act Agreement America Apache April August Avenue Bank Center City College Commons Company Copyright Corporation County December Department East February Foundation Friday General Government Group High Inc Institute International January July June Lake Law License Limited March May Monday Mount National New North November October Park Public Republic River Road Saturday School Sea September Software Source South State States Street Sunday The This Thursday Tuesday United University Version Wednesday West World".split())
+
+_SEP = rb"(?:[ ./-]|\xc2\xa0)"
+_U, _L = rb"(?:[A-Z]|\xc3[\x80-\x9e])", rb"(?:[a-z]|\xc3[\x9f-\xbf])"
+_CAP = _U + rb"(?:['-]?" + _U + rb"?" + _L + rb"){1,24}(?![\w\x80-\xff])"
+_TITLE = rb"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Mme|Mlle|M\.|Monsieur|Madame|Herr|Frau|Sr|Sra|Srta|Don|Do\xc3\xb1a)\.? "
+_CUES = ("name is ", "Name: ", "name: ", "named ", "called ", "I am ", "Dear ", "dear ", "Hello ", "Hi ", "Sincerely, ", "Regards, ", "regards, ", "appelle ", "nomme ", "Cher ", "Chère ", "llamo ", "llama ", "nombre es ", "Estimado ", "Estimada ", "heiße ", "heißt ", "Name ist ", "Lieber ", "Liebe ", "Contact ", "contact ")
+_CUE = b"(?:" + b"|".join(b"(?<=" + c.encode() + b")" for c in _CUES) + b")"
+_LINK = rb"(?: (?:[A-Z]\.|von|van|de|der|del|da|di|la|le|du|dos)){0,2} "
+_GIVEN = b"(?:" + b"|".join(sorted(GIVEN)) + b")"
+
 _PATTERNS: dict[str, re.Pattern] = {
     "email": re.compile(rb"(?<![\w.%+-])[A-Za-z0-9\x80-\xff][A-Za-z0-9\x80-\xff._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"),
-    "phone": re.compile(rb"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]?\d{3,4}(?!\w|[.-]\d)|(?<![\w.])\+\d{8,15}(?!\w)"),
+    "phone": re.compile(
+        rb"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]?\d{3,4}(?!\w|[.-]\d)|(?<![\w.])\+\d{8,15}(?!\w)"
+        # French and Spanish numbers, those with a country code, and any run of groups with 8 digits or more
+        rb"|(?<![\w.+])(?:(?:\+|00)33S?(?:\(0\)S?)?[1-9]|0[1-9])(?:S?\d\d){4}(?!\w|[.-]\d)|(?<![\w.+])(?:(?:\+|00)34S?)?[6-9]\d\d(?:S\d\d){3}(?!\w|[.-]\d)"
+        rb"|(?<![\w.])(?=(?:\D{0,3}\d){8})(?:\+|00)\d{1,3}(?:S?\(0\))?(?:S?\(?\d{1,4}\)?){2,6}(?!\w|[.-]\d)"
+        rb"|(?<![\w.+])(?=\(?\d(?:\)?S?\d){7})(?:\(\d{2,5}\)S?\d{2,8}(?:S\d{2,8}){0,4}|\d{2,5}(S)\d{2,8}(?:\1\d{2,8}){0,4})(?!\w|[.-]\d)".replace(b"S", _SEP)
+    ),
     "card": re.compile(rb"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)"),
     "ip": re.compile(rb"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)(?![A-Za-z_])"),
     "ssn": re.compile(rb"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     "iban": re.compile(rb"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"),
     "secret": re.compile(rb"(?<![A-Za-z0-9])(?:(?:token|api[_-]?key|secret|passw(?:or)?d|pwd|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/-]{8,}[\"']?|(?:AKIA|ghp_|gho_|sk-|sk_live_|xox[abp]-)[A-Za-z0-9_-]{12,}|[A-Za-z0-9_+/-]{32,}(?![A-Za-z0-9]))", re.IGNORECASE),
-    "person": re.compile(rb"(?<!\w)(?:(?:Mr|Mrs|Ms|Dr|Prof)\.? )?(?:" + b"|".join(NAMES) + rb") [A-Z][a-z]{2,}(?!\w)"),
+    "person": re.compile(rb"(?<![\w\x80-\xff])(?:" + _TITLE + _CAP + b"(?:" + _LINK + _CAP + b"){0,2}|" + _CUE + b"(?!" + _TITLE + b")" + _CAP + b"(?:" + _LINK + _CAP + b"){0,2}|" + _GIVEN + _LINK + _CAP + b"|(?!" + _CAP + b" (?:" + _GIVEN + b" " + _U + b"|" + _TITLE + b"))" + _CAP + _LINK + _CAP + b")"),
 }
 _POSITIVE: dict[str, re.Pattern] = {
     "email": re.compile(rb"e-?mail|contact|write|address|mailto", re.I), "phone": re.compile(rb"phone|call|tel|mobile|fax|dial|reach", re.I), "card": re.compile(rb"card|visa|master|amex|credit|payment|charge", re.I), "ip": re.compile(rb"\bip\b|host|server|address|login|from|client", re.I),
-    "ssn": re.compile(rb"ssn|social|security", re.I), "iban": re.compile(rb"iban|bank|account|transfer", re.I), "secret": re.compile(rb"token|key|secret|password|pwd|credential|auth", re.I), "person": re.compile(rb"name|mr\b|mrs\b|dr\b|dear|sincerely|contact", re.I),
+    "ssn": re.compile(rb"ssn|social|security", re.I), "iban": re.compile(rb"iban|bank|account|transfer", re.I), "secret": re.compile(rb"token|key|secret|password|pwd|credential|auth", re.I), "person": re.compile(rb"name|mr\b|mrs\b|dr\b|dear|sincerely|contact|called|i am |hello |hi |regards|appelle|nomme|cher|llam|nombre|estimad|hei\xc3\x9f|lieb", re.I),
 }
 _NEGATIVE: dict[str, re.Pattern] = {
     "email": re.compile(rb"example of|format", re.I), "phone": re.compile(rb"isbn|order|serial|page|invoice", re.I), "card": re.compile(rb"isbn|tracking|serial|order|timestamp", re.I), "ip": re.compile(rb"version|release|section|\bv$|license", re.I),
@@ -54,6 +73,9 @@ _NEGATIVE: dict[str, re.Pattern] = {
 }
 _KEYED = re.compile(rb"(?:token|api[_-]?key|secret|passw(?:or)?d|pwd|access[_-]?key)\s{0,3}[=:]", re.I)
 _KEY_PREFIX = re.compile(rb"(?:AKIA|ghp_|gho_|sk-|sk_live_|xox[abp]-)", re.I)
+#: Dates, addresses and social security numbers aren't telephone numbers; these are, without a country code.
+_NO_PHONE = re.compile(rb"(?:19|20)\d\d[-./ ]\d\d[-./ ]\d\d(?:\D.*)?|\d\d[-./]\d\d[-./](?:19|20)\d\d|\d{1,3}(?:\.\d{1,3}){3}|\d{3}-\d{2}-\d{4}|(?:19|20)\d\d\D(?:19|20)\d\d")
+_NATIONAL = re.compile(rb"0[1-9](?:\D{0,2}\d\d){4}|[2-9]\d\d[ .-]?[2-9]\d\d[ .-]\d{4}|[67]\d\d(?:\D{1,2}\d\d){3}")
 _ISSUER = re.compile(rb"4|5[1-5]|2[2-7]|3[47]|6(?:011|5|4[4-9])|35|30[0-5]|3[68]")
 
 
@@ -89,9 +111,13 @@ def judge(kind: str, span: bytes, before: bytes) -> tuple[tuple[int, int, int, i
         gazetteer = 1 if tld in TLDS else 0
         shape = 1 if len(local) > 1 else -1
     elif kind == "phone":
-        pattern = 1 if span.startswith((b"+", b"(")) else 0
+        groups = re.findall(rb"\d+", span)
+        trunk = digits.startswith(b"0") and 9 <= len(digits) <= 12 and len(groups) > 1
+        number = not 8 <= len(digits) <= 15 or _NO_PHONE.fullmatch(span)
+        pattern = -1 if number else 1 if span.startswith((b"+", b"(", b"00")) or trunk or _NATIONAL.fullmatch(span) else 0
         gazetteer = 1 if re.match(rb"\+(?:1|2[07]|3[0-69]|4[013-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])", span) else 0
-        shape = 1 if 10 <= len(digits) <= 15 and separated else -1 if len(digits) < 9 else 0
+        series = not pattern and len(groups) > 3  # numbers one after another
+        shape = 1 if 9 + (pattern < 1) <= len(digits) <= 15 and separated and not series else -1 if len(digits) < 9 else 0
     elif kind == "card":
         pattern = 1 if luhn(digits) else -1
         gazetteer = 1 if _ISSUER.match(digits) else 0
@@ -117,9 +143,13 @@ def judge(kind: str, span: bytes, before: bytes) -> tuple[tuple[int, int, int, i
         mixed = bool(digits) and any(chr(c).isalpha() for c in body)
         shape = 1 if mixed and _entropy(body) > 2.8 else -1
     else:
-        pattern = 1 if re.match(rb"(?:Mr|Mrs|Ms|Dr|Prof)", span) else 0
-        gazetteer = 1
-        shape = 1 if 2 <= len(span.split()) <= 4 else -1
+        titled = re.match(_TITLE, span)
+        own = span[titled.end() :].split() if titled else span.split()
+        known, odd = own[0] in GIVEN, any(w in NO_NAMES for w in own) or len(set(own)) < len(own)
+        pattern = 1 if titled else 0
+        gazetteer = 1 if known and not odd else -1 if odd else 0
+        linked = any(w.endswith(b".") or w[:1].islower() for w in own)
+        shape = -1 if odd or not titled and len(own) < 2 else 1 if titled or known or linked else 0
     good, bad = _POSITIVE[kind].search(before), _NEGATIVE[kind].search(before)
     context = 1 if good and not bad else -1 if bad and not good else 0
     bits = (pattern > 0) | (gazetteer > 0) << 1 | (shape > 0) << 2 | (good is not None) << 3 | (bad is not None) << 4 | separated << 5 | (len(digits) * 2 > len(span)) << 6 | (len(span) > 12) << 7 | (pattern < 0) << 8 | (gazetteer < 0) << 9
@@ -133,29 +163,41 @@ _HOT[list(b"@0123456789=:")] = True
 _KEY_BYTE = np.zeros(256, dtype=bool)
 _KEY_BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-")] = True
 SHORTEST_RUN = 15
-_name_hashes = np.unique(next(slices(pa.array([b" ".join(NAMES).decode()]), FOLDED)).hashes)
-_name_quick = np.zeros(1 << 16, dtype=bool)
-_name_quick[(_name_hashes >> np.uint64(48)).astype(np.int64)] = True
-_REACH = 120
+_cue_hashes = np.unique(next(slices(pa.array([" ".join(c.strip(" ,:").split()[-1] for c in _CUES)]), FOLDED)).hashes)
+_REACH, _PERSON_REACH = 120, 480  # of digits and keys, and of names
 
 
-def _windows(s: Slice) -> Iterator[tuple[int, int, int]]:
-    """(row, from, to): the stretches of a slice, cut at white space, that candidates can lie in."""
+def _hot(s: Slice) -> np.ndarray:
+    """Bytes near which every candidate but persons lies."""
     inside = np.concatenate([[False], _KEY_BYTE[s.data], [False]])
     cut = np.zeros(len(inside), dtype=bool)
     cut[s.offsets] = True  # runs end with their rows
     begins, stops = (np.flatnonzero(x) for x in (inside[1:] & (~inside[:-1] | cut[:-1]), inside[:-1] & (~inside[1:] | cut[:-1])))
     runs = begins[stops - begins >= SHORTEST_RUN]
-    named = np.flatnonzero(_name_quick[(s.hashes >> np.uint64(48)).astype(np.int64)])
-    named = named[np.isin(s.hashes[named], _name_hashes)]
-    hot = np.unique(np.concatenate([np.flatnonzero(_HOT[s.data]), runs, s.starts[named]]))
+    return np.unique(np.concatenate([np.flatnonzero(_HOT[s.data]), runs]))
+
+
+def _hot_names(s: Slice) -> np.ndarray:
+    """Where persons may begin: at capitalised words with another one among the next three, or after a cue word."""
+    first = s.data[s.starts]
+    capital = (first >= 65) & (first <= 90) | (first == 0xC3)
+    padded = np.concatenate([capital, np.zeros(3, dtype=bool)])
+    near = padded[1:-2] | padded[2:-1] | padded[3:]
+    cued = np.zeros(len(capital), dtype=bool)
+    at = np.flatnonzero(capital[1:])
+    cued[at + 1] = np.isin(s.hashes[at], _cue_hashes)
+    return s.starts[capital & (near | cued)]
+
+
+def _windows(s: Slice, hot: np.ndarray, reach: int) -> Iterator[tuple[int, int, int]]:
+    """(row, from, to): the stretches of a slice around the hot bytes, cut at white space."""
     if not len(hot):
         return
     row = np.searchsorted(s.offsets, hot, side="right") - 1
-    opens = np.flatnonzero(np.concatenate([[True], (hot[1:] - hot[:-1] > _REACH) | (row[1:] != row[:-1])]))
+    opens = np.flatnonzero(np.concatenate([[True], (hot[1:] - hot[:-1] > reach) | (row[1:] != row[:-1])]))
     for a, b in zip(opens, np.concatenate([opens[1:], [len(hot)]])):
         r = int(row[a])
-        lo, hi = max(int(hot[a]) - _REACH, int(s.offsets[r])), min(int(hot[b - 1]) + _REACH, int(s.offsets[r + 1]))
+        lo, hi = max(int(hot[a]) - reach, int(s.offsets[r])), min(int(hot[b - 1]) + reach, int(s.offsets[r + 1]))
         while lo > s.offsets[r] and s.data[lo - 1] > 32:
             lo -= 1
         while hi < s.offsets[r + 1] and s.data[hi] > 32:
@@ -166,17 +208,21 @@ def _windows(s: Slice) -> Iterator[tuple[int, int, int]]:
 def candidates(s: Slice) -> dict[int, list[tuple]]:
     """Of each row with any: (start, end, kind, votes, features), places in bytes from the row's beginning."""
     found: dict[int, set[tuple]] = {}
-    for r, lo, hi in _windows(s):
-        text, base = s.data[lo:hi].tobytes(), lo - int(s.offsets[r])
-        for k, kind in enumerate(KINDS):
-            if kind == "email" and b"@" not in text:
-                continue
-            for m in _PATTERNS[kind].finditer(text):
-                at = lo + m.start()
-                before = s.data[max(int(s.offsets[r]), at - CONTEXT) : at].tobytes()
-                votes, bits = judge(kind, m.group(), before)
-                code = sum((v + 1) * 3**j for j, v in enumerate(votes))
-                found.setdefault(r, set()).add((base + m.start(), base + m.end(), k, code, bits))
+    person = (KINDS.index("person"),)
+    rest = tuple(k for k in range(len(KINDS)) if k not in person)
+    for kinds, hot, reach in ((rest, _hot(s), _REACH), (person, _hot_names(s), _PERSON_REACH)):
+        for r, lo, hi in _windows(s, hot, reach):
+            text, base = s.data[lo:hi].tobytes(), lo - int(s.offsets[r])
+            for k in kinds:
+                kind = KINDS[k]
+                if kind == "email" and b"@" not in text:
+                    continue
+                for m in _PATTERNS[kind].finditer(text):
+                    at = lo + m.start()
+                    before = s.data[max(int(s.offsets[r]), at - CONTEXT) : at].tobytes()
+                    votes, bits = judge(kind, m.group(), before)
+                    code = sum((v + 1) * 3**j for j, v in enumerate(votes))
+                    found.setdefault(r, set()).add((base + m.start(), base + m.end(), k, code, bits))
     return {r: sorted(x) for r, x in found.items()}
 
 

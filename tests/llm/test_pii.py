@@ -71,6 +71,37 @@ def test_secrets_of_letters_only_are_candidates():
             assert {c[:3] for c in found.get(i, [])} == want
 
 
+PHONES = ["01 23 45 67 89", "06.12.34.56.78", "+33 6 12 34 56 78", "+34 612 34 56 78", "+49 151 23456789", "030 12345678", "+44 20 7946 0958", "279-555-0216"]
+PERSONS = ["Mr. Smith", "Mary Jones", "Pierre Dupont", "Frau Müller", "Jean-Luc O'Brien", "Hans von Berg"]
+NUMBERS = ["2024-01-15 12", "10 20 30 40 50", "1999-2004", "12.11.2020"]
+
+
+def test_phones_and_persons_of_other_lands(spark):
+    docs = [(i, f"{sentence(i, 12)} call {x}, {sentence(i, 9)}") for i, x in enumerate(PHONES)]
+    docs += [(100 + i, f"{sentence(i, 12)} my name is {x}, {sentence(i, 9)}") for i, x in enumerate(PERSONS)]
+    docs += [(200 + i, f"{sentence(i, 12)} {x}, {sentence(i, 9)}") for i, x in enumerate(NUMBERS + ["General Public", "Sich Sich", "United States"])]
+    text = dict(docs)
+    got = {(r.doc_id, r.kind, text[r.doc_id][r.start : r.stop]) for r in pii.personal_data(frame(spark, docs)).collect()}
+    assert {(i, "phone", x) for i, x in enumerate(PHONES)} <= got
+    assert {(100 + i, "person", x) for i, x in enumerate(PERSONS)} <= got
+    assert not {x for x in got if x[0] >= 200}
+
+
+def test_candidates_of_phones_and_persons_are_those_of_whole_texts():
+    import pyarrow as pa
+
+    from marlstone.llm.words import FOLDED, slices
+
+    filler = "some plain words " * 40
+    docs = [f"{filler}{cue}{x} {filler}" for x in PHONES + PERSONS + NUMBERS for cue in ("", "Contact ", "my name is ")] + ["My name is John. " * 30]
+    for size in (1, 300, 1 << 20):
+        found = {}
+        for s in slices(pa.array(docs), FOLDED, size=size):
+            found |= {s.rows.start + r: x for r, x in pii.candidates(s).items()}
+        for i, t in enumerate(docs):
+            assert {x[:3] for x in found.get(i, [])} == {(m.start(), m.end(), k) for k, kind in enumerate(pii.KINDS) for m in pii._PATTERNS[kind].finditer(t.encode())}
+
+
 def test_em_recovers_reliabilities():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.4
