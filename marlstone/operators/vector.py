@@ -2,8 +2,8 @@
 
 Exact search keeps everything in the JVM: one pass of `aggregate(zip_with)` and
 a top-k, or, for many queries, a top-k per query.  The approximate index hashes
-vectors with random hyperplanes into a few tables; candidates that share a
-bucket are ranked exactly.
+vectors with random hyperplanes into a few tables; candidates in the query's
+bucket, or in one across a single hyperplane, are ranked exactly.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def search_many(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: s
 class HyperplaneIndex:
     """Approximate search: ``tables`` hash tables of ``bits`` hyperplanes through the middle of the data."""
 
-    def __init__(self, rows: DataFrame, key: str, vector: str, dims: int, bits: int = 6, tables: int = 16, seed: int = 7):
+    def __init__(self, rows: DataFrame, key: str, vector: str, dims: int, bits: int = 8, tables: int = 32, seed: int = 7):
         self.key, self.vector, self.dims = key, vector, dims
         self.planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
         known = rows.filter(F.col(vector).isNotNull())
@@ -81,8 +81,10 @@ class HyperplaneIndex:
         return hashed(v)
 
     def _buckets(self, query: Iterable[float]) -> list[tuple[int, int]]:
+        """In each table, the query's own bucket and those that differ in one bit."""
         side = self.planes @ (np.asarray(list(query)) - self.middle) > 0
-        return [(t, int((s << np.arange(len(s))).sum())) for t, s in enumerate(side)]
+        own = [(t, int((s << np.arange(len(s))).sum())) for t, s in enumerate(side)]
+        return own + [(t, b ^ 1 << i) for t, b in own for i in range(side.shape[1])]
 
     def search(self, query: Sequence[float], k: int, metric: str = "l2") -> DataFrame:
         at = [F.struct(F.lit(t).alias("t"), F.lit(b).alias("b")) for t, b in self._buckets(query)]

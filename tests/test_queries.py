@@ -56,3 +56,23 @@ def test_approximate_search_recall(spark, sf):
         assert near[0] == q.vec_id
         hits += len(exact & set(near))
     assert hits >= 0.9 * 25
+
+
+def test_recall_of_the_default_index_over_all_rows(spark, sf):
+    import numpy as np
+
+    from marlstone.operators import vector
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = e.collect()
+    index = vector.HyperplaneIndex(e, "vec_id", "embedding", len(rows[0].embedding))
+    members = {}
+    for r in index.buckets.select("vec_id", "bucket.*").collect():
+        members.setdefault((r.t, r.b), set()).add(r.vec_id)
+    x = np.array([r.embedding for r in rows], dtype=float)
+    hits = 0
+    for r, v in zip(rows, x):
+        exact = [rows[i].vec_id for i in np.argsort(((x - v) ** 2).sum(axis=1), kind="stable")[:10]]
+        near = set().union(*(members.get(b, set()) for b in index._buckets(r.embedding)))
+        hits += len(near.intersection(exact))
+    assert hits >= 0.95 * 10 * len(rows)
