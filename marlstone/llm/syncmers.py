@@ -5,8 +5,9 @@ its first or last place.  Whether it is depends on the k-mer alone, never on its
 neighbours, so a passage has the same anchors wherever it occurs, at the same
 distances: matching (fingerprint, position difference) pairs aligns texts.  Of
 k - s + 1 inner places two count, so about 2 / (k - s + 1) of the k-mers are
-kept, and any k - s + 1 consecutive k-mers hold at least one.  Everything is
-numpy over Arrow buffers in one narrow stage.
+kept, and any k - s + 1 consecutive k-mers hold at least one: a shared passage
+of 2k - s words always has an anchor.  A shorter text may have none; it can have
+one fingerprint of all its words instead.  Everything is numpy over Arrow buffers in one narrow stage.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import common
 from .words import RAW, Slice, grams, slices, sliding_min
 
-K, S = 16, 4
+K, S = 6, 2
 
 
 def chosen(s: Slice, k: int, inner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -34,13 +35,28 @@ def chosen(s: Slice, k: int, inner: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return row, at - s.first[row], coarse[at]
 
 
-def fingerprints(docs: DataFrame, k: int = K, inner: int = S) -> DataFrame:
+def with_whole(s: Slice, k: int, inner: int, found: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``chosen`` found, and for each row with words but no syncmer a fingerprint of all its words at position 0."""
+    row, position, print_ = found
+    size = np.diff(s.first)
+    bare = np.flatnonzero((np.bincount(row, minlength=len(s)) == 0) & (size > 0))
+    more = np.zeros(len(bare), dtype=np.uint64)
+    for n in np.unique(size[bare]).tolist():  # under 2k - inner words
+        own = size[bare] == n
+        more[own] = grams(s.hashes[s.first[bare[own]][:, None] + np.arange(n)].ravel(), n)[::n]
+    rows = np.concatenate([row, bare])
+    order = np.argsort(rows, kind="stable")
+    return rows[order], np.concatenate([position, np.zeros(len(bare), position.dtype)])[order], np.concatenate([print_, more])[order]
+
+
+def fingerprints(docs: DataFrame, k: int = K, inner: int = S, whole: bool = False) -> DataFrame:
     """(doc_id, n_words, positions, fingerprints), a row for each row of docs.
 
     ``positions`` are word offsets in ascending order, ``fingerprints`` the
     k-mers' hashes there.  A tie of two inner minima counts if either lies at an
-    edge.  Texts under k words (the empty one too) have empty lists, a null text
-    has nulls; a null doc_id stays null; repeated rows give repeated rows; other
+    edge.  Texts under k words (the empty one too) have empty lists, but with
+    ``whole``, a text of words without any syncmer has one fingerprint of them all
+    at position 0; a null text has nulls; a null doc_id stays null; repeated rows give repeated rows; other
     columns are ignored; an empty table gives none.
     """
     if not 0 < inner <= k:
@@ -50,7 +66,8 @@ def fingerprints(docs: DataFrame, k: int = K, inner: int = S) -> DataFrame:
         for batch in batches:
             text = batch.column(1)
             for s in slices(text, RAW):
-                row, position, print_ = chosen(s, k, inner)
+                found = chosen(s, k, inner)
+                row, position, print_ = with_whole(s, k, inner, found) if whole else found
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(s)))]).astype(np.int32))
                 null = text.slice(s.rows.start, len(s)).is_null()
                 mask = {"mask": null} if null.true_count else {}
@@ -61,4 +78,4 @@ def fingerprints(docs: DataFrame, k: int = K, inner: int = S) -> DataFrame:
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(common.table(spark, sf_dir, "documents"))
+    return fingerprints(common.table(spark, sf_dir, "documents"), whole=True)

@@ -52,3 +52,17 @@ def test_equal_kmers_have_equal_fingerprints(spark):
 
 def test_empty_table(spark):
     assert syncmers.fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_short_texts_and_copies_with_replaced_words_share_fingerprints(spark, tmp_path):
+    w = sentence(9, 90).split()
+    texts = [(n, " ".join(w[:n])) for n in range(1, 20)]
+    copies = [(100 + n, "\n".join(w[:n])) for n in range(1, 20)]
+    edited = [(200, " ".join(w)), (201, " ".join("new" if i % 11 == 10 else x for i, x in enumerate(w)))]
+    frame(spark, [*texts, *copies, *edited, (300, None), (301, " ")]).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in syncmers.op5_fingerprints(spark, str(tmp_path)).collect()}
+    for n in range(1, 20):
+        assert got[n].fingerprints and got[n].fingerprints == got[100 + n].fingerprints and got[n].positions == got[100 + n].positions
+    assert len({got[n].fingerprints[0] for n in range(1, 6)}) == 5
+    assert set(got[200].fingerprints) & set(got[201].fingerprints)
+    assert got[300].fingerprints is None and got[301].fingerprints == []
