@@ -96,6 +96,79 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: F
     return common.id_and_text(docs).mapInArrow(run, "doc_id bigint, line_no bigint, license string, n_common bigint, n_template bigint")
 
 
+#: Most words a wrapped notice may span, in lengths of its template.
+STRETCH = 2
+
+
+def scan_wrapped(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: Fraction = THRESHOLD) -> DataFrame:
+    """(doc_id, line_no, license, n_common, n_template): every run of two or more lines that contains a template to the threshold.
+
+    What ``scan`` can't see, as its blocks are single lines.  A run's words, from
+    its first to its last one of the template, are at most ``STRETCH`` times the
+    template's; a run is told by its first line, and runs don't overlap.  Folding, nulls and repeated rows are as in ``scan``.
+    """
+    names = list(templates)
+    every = [s.hashes for s in (next(slices(pa.array([templates[n]]), FOLDED)) for n in names)]
+    words = [np.unique(h) for h in every]
+    if sum(map(len, words)) > MOST_WORDS:
+        raise ValueError(f"the templates have over {MOST_WORDS} words; scan with a part of them at a time")
+    need = [_needed(len(w), threshold) for w in words]
+    sent = docs.sparkSession.sparkContext.broadcast((names, words, need, [STRETCH * len(h) for h in every]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, words, need, most = sent.value
+        for batch in batches:
+            hits: list[tuple] = []
+            for s in slices(batch.column(1), FOLDED):
+                lines = Lines(s)
+                for name, w, n, reach in zip(names, words, need, most):
+                    if not len(w):
+                        continue
+                    which = np.minimum(np.searchsorted(w, s.hashes), len(w) - 1)
+                    at = np.flatnonzero(w[which] == s.hashes)
+                    # A match needs n of these words from some place on, within reach and in one row.
+                    first = at[: max(len(at) - n + 1, 0)]
+                    last = at[n - 1 :]
+                    near = (last - first < reach) & (lines.row[first] == lines.row[last])
+                    for row in np.unique(lines.row[first[near]]).tolist():
+                        a, b = np.searchsorted(at, [s.first[row], s.first[row + 1]])
+                        hits += [(s.rows.start + row, int(lines.number[x]), name, n_common, len(w)) for x, n_common in _runs(at[a:b], which[at[a:b]], lines.number, n, reach)]
+            rows, number, name, both, size = zip(*hits) if hits else ((),) * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(number, pa.int64()), pa.array(name, pa.string()), pa.array(both, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "line_no", "license", "n_common", "n_template"])
+
+    return common.id_and_text(docs).mapInArrow(run, "doc_id bigint, line_no bigint, license string, n_common bigint, n_template bigint")
+
+
+def _runs(at: np.ndarray, word: np.ndarray, line: np.ndarray, need: int, reach: int) -> Iterator[tuple[int, int]]:
+    """(first word, distinct words) of the stretches with ``need`` distinct words that cross a line."""
+    at, word = at.tolist(), word.tolist()
+    count: dict[int, int] = {}
+    lo, skip = 0, 0
+    for hi, w in enumerate(word):
+        if hi < skip:
+            continue
+        count[w] = count.get(w, 0) + 1
+        while at[hi] - at[lo] >= reach or count[word[lo]] > 1:
+            count[word[lo]] -= 1
+            if not count[word[lo]]:
+                del count[word[lo]]
+            lo += 1
+        if len(count) >= need:
+            crosses, skip = line[at[lo]] != line[at[hi]], hi + 1
+            for j in range(hi + 1, len(at)):  # words still missing, within reach
+                if at[j] - at[lo] >= reach:
+                    break
+                if word[j] not in count:
+                    count[word[j]], skip = 1, j + 1
+            if crosses:
+                yield at[lo], len(count)
+            count, lo = {}, skip
+
+
+def op8_wrapped_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_wrapped(common.table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(common.table(spark, sf_dir, "documents"))
 

@@ -102,6 +102,19 @@ def test_license_scan(spark):
     assert {(100, "apache-2.0-notice"), (100, "mit"), (102, "mit"), (None, "cc-by-nc-4.0"), (4, "one")} <= {(r.doc_id, r.license) for r in got}
 
 
+def test_wrapped_notices(spark):
+    import textwrap
+
+    long = ["apache-2.0-notice", "mit-grant", "gpl-3.0-notice", "bsd-3-clause"]
+    docs = [(10 * i + j, "intro\nof the\n" + "\n".join(" * " + x for x in textwrap.wrap(license_scan.TEMPLATES[n], width)) + "\n" + sentence(i, 50)) for i, n in enumerate(long) for j, width in enumerate((72, 46))]
+    docs += [(100, license_scan.TEMPLATES["mit-grant"]), (101, sentence(1, 200)), (102, None), (103, "Released under\n" + sentence(2, 60) + "\nthe MIT License")]
+    got = {(r.doc_id, r.license, r.line_no, r.n_common == r.n_template) for r in license_scan.scan_wrapped(frame(spark, docs)).collect()}
+    assert {(k, x) for k, x, *_ in got if x in long} == {(10 * i + j, n) for i, n in enumerate(long) for j in range(2)}
+    assert all(line in (1, 2) and full for _, x, line, full in got if x in long)
+    assert not {k for k, *_ in got if k >= 100}
+    assert license_scan.scan_wrapped(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_too_many_templates_are_refused(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "MOST_WORDS", 3)
     with pytest.raises(ValueError):
