@@ -3,7 +3,8 @@
 A mask looks at some of ``SPAN`` consecutive words and ignores the rest, so a
 replaced word at an ignored place doesn't break a hit.  The masked hashes of all
 benchmark items form a table that documents probe at every word under every
-mask.  Each hit fixes an alignment of item and document, which is verified: the
+mask; so that no place of a short item (one in ``RUNS``) must agree, its
+runs of a few words are seeds too.  Each hit fixes an alignment of item and document, which is verified: the
 document is contaminated by the item if, along that alignment, some ``WINDOW``
 consecutive words (all of a shorter item) agree in at least ``SHARE`` of them.
 
@@ -27,14 +28,16 @@ from .words import FOLDED, Slice, mix, slices
 
 SPAN = 8
 MASKS = ((0, 1, 2, 4, 7), (0, 1, 4, 5, 7), (0, 2, 3, 6, 7))
+#: Seeds of consecutive words for items of so many words; where 7 of 8, 8 of 9 or 8 of 10 agree, some run is as long.
+RUNS = {8: (0, 1, 2, 3), 9: (0, 1, 2, 3), 10: (0, 1, 2)}
 WINDOW = 13
 SHARE = Fraction(4, 5)
 SENT_WORDS = 2_000_000
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
-def masked(hashes: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
-    n = len(hashes) - SPAN + 1
+def masked(hashes: np.ndarray, mask: tuple[int, ...], span: int = SPAN) -> np.ndarray:
+    n = len(hashes) - span + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     acc = np.full(n, sum(1 << m for m in mask), dtype=np.uint64)
@@ -50,9 +53,13 @@ class Seeds:
     def __init__(self, ids: list, words: list[np.ndarray]):
         self.ids, self.words = ids, words
         found = []
+        #: The masks and their spans; those of short items only where there are any.
+        self.masks = [(mask, SPAN) for mask in MASKS] + sorted({(RUNS[n], len(RUNS[n])) for n in map(len, words) if n in RUNS})
         for item, w in enumerate(words):
-            for mask in MASKS:
-                h = masked(w, mask)
+            for mask, span in self.masks:
+                if span < SPAN and RUNS.get(len(w)) != mask:
+                    continue
+                h = masked(w, mask, span)
                 found.append((h, np.full(len(h), item), np.arange(len(h))))
         self.hash, self.item, self.at = (np.concatenate([np.zeros(0, k), *x]) for k, x in zip((np.uint64, np.int64, np.int64), zip(*found) if found else ((), (), ())))
         order = np.argsort(self.hash, kind="stable")
@@ -67,14 +74,14 @@ class Seeds:
     def alignments(self, s: Slice) -> np.ndarray:
         """Distinct (row, item, word of the document where the item would begin)."""
         out = []
-        for mask in MASKS:
-            h = masked(s.hashes, mask)
+        for mask, span in self.masks:
+            h = masked(s.hashes, mask, span)
             p = np.flatnonzero(self.table[self._cell(h)])
             lo, hi = np.searchsorted(self.hash, h[p], "left"), np.searchsorted(self.hash, h[p], "right")
             n = hi - lo
             p, lo, n = p[n > 0], lo[n > 0], n[n > 0]
             row = np.searchsorted(s.first, p, side="right") - 1
-            inside = p + SPAN <= s.first[row + 1]
+            inside = p + span <= s.first[row + 1]
             p, lo, n, row = p[inside], lo[inside], n[inside], row[inside]
             k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
             out.append(np.stack([np.repeat(row, n), self.item[k], np.repeat(p - s.first[row], n) - self.at[k]], axis=1))

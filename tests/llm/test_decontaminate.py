@@ -53,6 +53,19 @@ def test_recall_and_precision(spark):
     assert not {k for k, _ in got if k >= 900}
 
 
+def test_short_items_with_any_words_replaced(spark):
+    from itertools import combinations
+
+    bench = [(n, sentence(20 + n, n, 5000)) for n in (8, 9, 10)]
+    docs = []
+    for n, t in bench:
+        for gone in combinations(range(n), n // 5):
+            words = ["new" if i in gone else x for i, x in enumerate(t.split())]
+            docs.append((100 * n + len(docs), sentence(600, 6, 5000) + " " + " ".join(words) + " " + sentence(601, 6, 5000)))
+    got = {r.doc_id for r in decontaminate.contamination(frame(spark, docs), items(spark, bench)).collect()}
+    assert got == {k for k, _ in docs}
+
+
 def test_every_mask_ignores_what_it_should():
     h = np.arange(40, dtype=np.uint64) * np.uint64(77777)
     for mask in decontaminate.MASKS:
