@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,3 +66,37 @@ def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.List
 
 def blobs(chunks: list[bytes]) -> pa.Array:
     return pa.array(chunks, type=pa.binary())
+
+
+#: Bits of `bit_map`; a fixed size, whatever goes in.
+MAP_BITS = 26
+_MAP_PARTS = 16
+
+
+def bit_map(keys: DataFrame) -> np.ndarray:
+    """2**MAP_BITS bits, packed into bytes, with those of the keys (a column of 64-bit hashes) set."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            part = batch.column(1).to_numpy(zero_copy_only=False)
+            cell = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - MAP_BITS)
+            for p in np.unique(part).tolist():
+                bits = found.setdefault(p, np.zeros((1 << MAP_BITS) // _MAP_PARTS, dtype=bool))
+                bits[(cell[part == p] & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), blobs([np.packbits(x).tobytes() for x in found.values()])], ["part", "bits"])
+
+    out = np.zeros((1 << MAP_BITS) // 8, dtype=np.uint8)
+    size = len(out) // _MAP_PARTS
+    shift = 64 - (_MAP_PARTS.bit_length() - 1)
+    split = keys.toDF("k").select("k", F.shiftrightunsigned("k", shift).cast("int").alias("part"))
+    for part, bits in split.repartition(_MAP_PARTS, "part").mapInArrow(build, "part int, bits binary").collect():  # 2**MAP_BITS bits together
+        out[part * size : (part + 1) * size] = np.frombuffer(bits, dtype=np.uint8)
+    return out
+
+
+def in_bit_map(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each key's bit is set: always for keys that went in."""
+    cell = (keys.view(np.uint64) >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+    return (bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1

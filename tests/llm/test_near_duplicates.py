@@ -60,16 +60,73 @@ def test_large_groups(spark):
     assert Counter(got.values()) == {0: 349, 1000: 199}
 
 
-def test_exhaustive_nodes_find_every_near_pair():
+def joined(pairs, n):
+    part = list(range(n))
+    for a, b in pairs:
+        part = [part[a] if x == part[b] else x for x in part]
+    return part
+
+
+def test_nodes_join_what_all_pairs_join():
+    """Small nodes, heavy sets and branches, each against comparing everything."""
     rng = np.random.default_rng(1)
-    sig = rng.integers(0, 256, (40, minhash.COORDINATES)).astype(np.uint8)
-    sig[20:] = np.where(rng.random((20, minhash.COORDINATES)) < 0.7, sig[:20], sig[20:])
-    u, path = np.arange(40), np.zeros(40, np.uint64)
-    need = minhash.least_matches(0.5)
-    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if (sig[i] == sig[j]).sum() >= need}
-    assert {tuple(e) for e in minhash.node_edges(path, u, sig, 0.5)} == want and len(want) >= 20
-    deep = minhash.node_edges(path, u, sig, 0.5, small=4)  # branches, then pivots: no wrong pair
-    assert {tuple(e) for e in deep} <= want
+    lo, hi = minhash.bounds(0.5)
+    for small, groups, share in ((64, 20, 0.75), (4, 20, 0.75), (4, 2, 0.7), (4, 1, 0.66), (8, 40, 0.5)):
+        base = rng.integers(0, 1 << 32, (groups, minhash.COORDINATES), dtype=np.uint32)
+        tokens = base[rng.integers(0, groups, 60)].copy()
+        other = rng.random(tokens.shape) > share**0.5
+        tokens[other] = rng.integers(0, 1 << 32, int(other.sum()), dtype=np.uint32)
+        same = (tokens[:, None] == tokens[None]).sum(axis=2)
+        every = [(i, j) for i in range(60) for j in range(i + 1, 60) if same[i, j] >= lo]
+        # As many roots as a production run has trees.
+        path = np.arange(minhash.trees_for(0.999), dtype=np.uint64).repeat(60)
+        u = np.tile(np.arange(60), len(path) // 60)
+        got = {tuple(e) for e in minhash.node_pairs(path * np.uint64(977), u, np.tile(tokens, (len(path) // 60, 1)), 0.5, small)}
+        assert got <= set(every)
+        near, part = [p for p in every if same[p] >= minhash.COORDINATES // 2], joined(got, 60)
+        assert np.mean([part[a] == part[b] for a, b in near] or [1]) >= 0.99
+        if small == 64:
+            assert joined(got, 60) == joined(every, 60)
+
+
+def test_trees_reach_the_recall():
+    assert [minhash.trees_for(r) for r in (0.5, 0.9, 0.99, 0.999)] == [1, 3, 6, 9]
+    rng = np.random.default_rng(5)
+    alive = rng.poisson(1, 20_000).astype(float)  # branches that a pair at the threshold has in common, level by level
+    for _ in range(12):
+        alive = np.minimum(rng.poisson(minhash.INNER * alive), 1000)
+    for r in (0.9, 0.99):
+        assert 1 - (1 - (alive > 0).mean()) ** minhash.trees_for(r) >= r - 0.01
+
+
+def test_pairs_are_verified_on_the_shingles(spark):
+    docs = [(i, sentence(i, 60, 30_000) + " " + sentence(900, n, 30_000)) for i, n in enumerate((10, 60, 118, 124, 130, 200))]
+    docs += [(10 + i, sentence(20 + i, 60, 30_000) + " " + sentence(901, 200, 30_000)) for i in range(5)]
+    pairs, group = groups_by_brute_force(docs, minhash.THRESHOLD)
+    got = {r.doc_id: r.duplicate_of for r in minhash.near_duplicates(frame(spark, docs), recall=0.99999).collect()}
+    first = {g: docs[g][0] for g in group}
+    assert {k: first[g] for (k, _), g in zip(docs, group) if first[g] != k} == got and pairs
+
+
+def test_crowded_branches_are_branched_on_the_way(spark):
+    docs = [(i, edited(sentence(i // 3, 150, 5000), 0.04, i)) for i in range(60)]
+    sigs = minhash.signatures(frame(spark, docs), 0.5, 9).cache()
+    rows = lambda crowd: {(r.a, r.b) for r in minhash.candidates(sigs, 0.5, crowd).collect()}
+    plain, crowded = rows(1000), rows(1)
+    assert len(plain & crowded) >= 0.9 * len(plain) > 30
+
+
+def test_chains_and_crowded_nodes(spark):
+    """Groups in which only neighbours are near, among many sets that share boilerplate."""
+    words = sentence(7, 2000, 30_000).split()
+    docs = [(i, " ".join(words[12 * i : 12 * i + 60])) for i in range(100)]
+    shared = sentence(8, 40, 30_000)
+    docs += [(1000 + i, shared + " " + sentence(2000 + i, 60, 30_000)) for i in range(200)]
+    pairs, group = groups_by_brute_force(docs, minhash.THRESHOLD)
+    got = {r.doc_id: r.duplicate_of for r in minhash.near_duplicates(frame(spark, docs)).collect()}
+    stays = [got.get(k, k) for k, _ in docs]
+    assert np.mean([stays[a] == stays[b] for a, b in pairs]) >= 0.98 and len(pairs) >= 90
+    assert not [k for k in got if k >= 1000]
 
 
 def test_awkward_documents(spark):
