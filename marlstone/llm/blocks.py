@@ -44,6 +44,27 @@ def pack(key: np.ndarray, columns: Mapping[str, np.ndarray], count: int) -> pa.R
     return pa.RecordBatch.from_arrays(arrays, ["bucket", *columns])
 
 
+def pack_ragged(key: np.ndarray, columns: Mapping[str, np.ndarray], ragged: Mapping[str, tuple[np.ndarray, np.ndarray]], count: int) -> Iterator[pa.RecordBatch]:
+    """As ``pack``, with columns of several values for each entry: (all values, how many each entry has)."""
+    if not len(key):
+        return
+    bucket = (mix(key.astype(np.uint64)) % np.uint64(count)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+    last = np.concatenate([first[1:], [len(bucket)]])
+    arrays = [pa.array(bucket[first], pa.int32())]
+    for x in columns.values():
+        x = np.ascontiguousarray(x[order])
+        arrays.append(common.blobs([x[a:b].tobytes() for a, b in zip(first, last)]))
+    for values, length in ragged.values():
+        begin, size = (np.cumsum(length) - length)[order], length[order]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        x = values[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+        arrays.append(common.blobs([x[a:b].tobytes() for a, b in zip(ends[first], ends[last])]))
+    yield pa.RecordBatch.from_arrays(arrays, ["bucket", *columns, *ragged])
+
+
 def per_bucket(packed: DataFrame, kinds: Mapping[str, np.dtype], work: Callable[[dict[str, np.ndarray]], pa.RecordBatch | None], out: str) -> DataFrame:
     """work() on the entries of each whole bucket; it returns a batch of schema ``out`` or None."""
 

@@ -38,14 +38,16 @@ def brute(spark, docs, t):
     return out
 
 
-@pytest.mark.parametrize("t", [Fraction(9, 10), Fraction(1, 2), Fraction(1)])
-def test_removed_lines(spark, t):
+@pytest.mark.parametrize(("t", "how"), [(Fraction(9, 10), {}), (Fraction(1, 2), {}), (Fraction(1), {}), (Fraction(9, 10), {"first": 1, "hot": 1, "split": 1}), (Fraction(1, 2), {"first": 1, "hot": 8, "split": 2})])
+def test_removed_lines(spark, t, how):
     docs = [(k, x) for k, x in AWKWARD if x is None or len(x) < 5000]
     base = sentence(1, 20).split()
     docs += [(30 + i, "\n".join([" ".join(base[:i] + ["new"] + base[i + 1 :]), sentence(40 + i, 6, 8), sentence(60 + i, 3, 4), "Of."])) for i in range(12)]
+    words = sentence(41, 400, 60).split()
+    docs += [(200 + i, "\n".join(" ".join(sorted(set(words[i : i + 24 + j]))) for j in range(3))) for i in range(0, 120, 2)]
     docs += [(60, "a b c d e f g h i j\nj i h g f e d c b a\na b c d e f g h i k\n\n\nx"), (61, "x\r\nX\n x ")]
     docs_frame = frame(spark, docs)
-    got = line_dedup.deduplicated(docs_frame, t)
+    got = line_dedup.deduplicated(docs_frame, t, **how)
     assert got.columns == docs_frame.columns
     assert sorted([(r.doc_id, r.text) for r in got.collect()], key=key) == sorted(brute(spark, docs, t), key=key)
 
@@ -57,6 +59,51 @@ def test_long_lines_and_counts(spark):
     assert got[1][0] == long and got[2] == ("", 0) and got[3][0] == "short line here" and got[4] == ("", 0)
 
 
+def test_very_long_texts_and_lines(spark):
+    many = "\n".join(sentence(i % 700, 12, 90) for i in range(3000))
+    docs = [(1, many), (2, many[: len(many) // 2]), (3, "x y z\n" * 4000)]
+    got = line_dedup.deduplicated(frame(spark, docs))
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=key) == sorted(brute(spark, docs, line_dedup.THRESHOLD), key=key)
+
+
+def bucket(lines, t=line_dedup.THRESHOLD, **how):
+    """The matches of lines (arrays of distinct words, rare first) that all meet in one bucket."""
+    n = np.array([len(x) for x in lines])
+    words = np.concatenate(lines)
+    first = np.cumsum(n) - n
+    keep = np.minimum(line_dedup.prefix(n, t) + 1, n)
+    bit = np.uint64(1) << (line_dedup.mix(words.copy()) >> np.uint64(58))
+    x = {"doc": np.arange(len(n)), "tag": np.zeros(len(n), np.int32), "line": np.zeros(len(n), np.int32), "size": n.astype(np.int32), "set": np.add.reduceat(line_dedup.mix(words.copy()), first), "map1": np.bitwise_xor.reduceat(bit, first), "map2": np.zeros(len(n), np.uint64), "keep": keep, "words": words[line_dedup._spans(first, keep)]}
+    x, gone = line_dedup.collapsed(x)
+    entries, tail = line_dedup.prefix_entries(x, t, 256)
+    entries |= {"tail": tail, **{k: v.astype(line_dedup.KINDS[k]) for k, v in gone.items()}}
+    return line_dedup.bucket_matches(entries, t, **how).to_pandas()
+
+
+def test_copies_and_hot_words_take_linear_time():
+    import time
+
+    def seconds(make, n):
+        lines = make(n)
+        began = time.perf_counter()
+        found = bucket(lines)
+        return time.perf_counter() - began, found
+
+    line = np.arange(1, 21, dtype=np.uint64)
+    took, found = seconds(lambda n: [line] * n, 100_000)
+    assert took < 5 and len(found) == 99_999 and found.same.all()
+    rng = np.random.default_rng(4)
+    # One word that all lines share, then words of their own.
+    hot = lambda n: [np.concatenate([[np.uint64(1)], np.sort(rng.integers(2, 1 << 40, 19).astype(np.uint64))]) for _ in range(n)]
+    seconds(hot, 1000)
+    small, large = (seconds(hot, n)[0] for n in (5000, 20_000))
+    assert large < 8 * small + 1
+    # Lines of one form, which are all alike.
+    form = lambda n: [np.concatenate([[np.uint64(i + 1)], np.uint64(1 << 40) + np.arange(39, dtype=np.uint64)]) for i in range(n)]
+    took, found = seconds(form, 20_000)
+    assert took < 20 and len(set(found.doc)) == 19_999 and len(found) < 20_000 * 8 * 12
+
+
 def test_the_bitmap_filter_never_rejects_a_match():
     rng = np.random.default_rng(3)
     t = Fraction(4, 5)
