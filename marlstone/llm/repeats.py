@@ -9,7 +9,9 @@ be searched independently without losing any.
    repeated passage.
 2. Documents that have repeated anchors send, for each run of passages with the
    same anchor, the run's words to the anchor's shard.
-3. In a shard, runs of equal words are collapsed, a suffix array of the rest is
+   Runs of equal words are collapsed where they are read, so boilerplate sends its
+   words once for each batch of documents, however many have it.
+3. In a shard, runs of equal words are collapsed again, a suffix array of the rest is
    induced, and the permuted common prefixes tell which passages have a copy.
 4. Overlapping repeated passages of a document are merged into spans.
 
@@ -92,7 +94,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return found.groupBy("doc", "tag").agg(F.flatten(F.collect_list("anchors")).alias("anchors"))
 
 
-RUN = {"anchor": np.dtype(np.uint64), "doc": np.dtype(np.int64), "tag": np.dtype(np.int32), "begin": np.dtype(np.int32), "n": np.dtype(np.int32), "inner": np.dtype(np.int8)}
+RUN = {"anchor": np.dtype(np.uint64), "doc": np.dtype(np.int64), "tag": np.dtype(np.int32), "begin": np.dtype(np.int32), "n": np.dtype(np.int32), "inner": np.dtype(np.int8), "copy": np.dtype(np.int8)}
 
 
 def _runs(s: Slice, mine: tuple[np.ndarray, np.ndarray], length: int, gram: int) -> dict[str, np.ndarray]:
@@ -115,13 +117,36 @@ def _runs(s: Slice, mine: tuple[np.ndarray, np.ndarray], length: int, gram: int)
     return {"anchor": least[new], "row": row[new], "begin": begin - s.first[row[new]], "n": size, "inner": inner, "words": (s.hashes[at] >> np.uint64(32)).astype(np.uint32)}
 
 
+def _identity(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums of position-mixed words for each run of n words; runs of equal words, and only they, have equal ones."""
+    first = np.cumsum(n) - n
+    place = (np.arange(len(words)) - np.repeat(first, n)).astype(np.uint64)
+    one, two = (np.add.reduceat(mix((words.astype(np.uint64) << np.uint64(31)) ^ (place * np.uint64(k)) ^ np.uint64(salt)), first) for k, salt in ((0x9E3779B97F4A7C15, 1), (0xC2B2AE3D27D4EB4F, 2)))
+    return one, two
+
+
+def _gather(words: np.ndarray, n: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """The words of some of the runs."""
+    size = n[which]
+    return words[np.repeat((np.cumsum(n) - n)[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
 def _pack_runs(parts: list[dict[str, np.ndarray]], count: int) -> pa.RecordBatch:
+    """Runs by bucket; of equal ones the first sends its words, and the others follow it as copies."""
     x = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    n = x["n"].astype(np.int64)
+    x["copy"] = np.zeros(len(n), np.int8)
     bucket = (mix(x["anchor"].copy()) % np.uint64(count)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    begin = np.cumsum(x["n"]) - x["n"]
-    size = x["n"][order].astype(np.int64)
-    words = x["words"][np.repeat(begin[order] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    if len(n):
+        one, two = _identity(x["words"], n)
+        order = np.lexsort((two, one, n, x["anchor"], bucket))
+        same = np.logical_and.reduce([v[order][1:] == v[order][:-1] for v in (two, one, n, x["anchor"])])
+        x["copy"][order[1:][same]] = 1
+    else:
+        order = np.zeros(0, np.int64)
+    lead = x["copy"][order] == 0
+    words = _gather(x["words"], n, order[lead])
+    size = np.where(lead, n[order], 0)
     bucket = bucket[order]
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
     last = np.concatenate([first[1:], [len(bucket)]]) if len(first) else first
@@ -154,56 +179,53 @@ def copied(words: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
 
 def shard_spans(x: dict[str, np.ndarray], length: int = LENGTH) -> dict[str, np.ndarray] | None:
     """(doc, tag, a, b): stretches of words from a to b that consist of passages with copies, of the runs of a bucket."""
-    order = np.argsort(x["anchor"], kind="stable")
-    n = x["n"][order].astype(np.int64)
-    begin = (np.cumsum(x["n"], dtype=np.int64) - x["n"])[order]
-    words = x["words"][np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    x = {k: x[k][order] for k in RUN}
-    first = np.cumsum(n) - n
-    # Runs of equal words and anchor: two sums of position-mixed words tell them.
-    place = (np.arange(len(words)) - np.repeat(first, n)).astype(np.uint64)
-    sums = [np.add.reduceat(mix((words.astype(np.uint64) << np.uint64(31)) ^ (place * np.uint64(k)) ^ np.uint64(salt)), first) for k, salt in ((0x9E3779B97F4A7C15, 1), (0xC2B2AE3D27D4EB4F, 2))]
-    by = np.lexsort((sums[1], sums[0], n, x["anchor"]))
-    key = [v[by] for v in (x["anchor"], n, sums[0], sums[1])]
+    lead_run = x["copy"] == 0 if "copy" in x else np.ones(len(x["n"]), dtype=bool)
+    leads = np.flatnonzero(lead_run)
+    n = x["n"][leads].astype(np.int64)
+    # Copies were told where they were read; leads of several batches may still be equal.
+    one, two = _identity(x["words"], n)
+    by = np.lexsort((two, one, n, x["anchor"][leads]))
+    key = [v[by] for v in (x["anchor"][leads], n, one, two)]
     new = np.concatenate([[True], np.logical_or.reduce([v[1:] != v[:-1] for v in key])])
-    kind = np.empty(len(n), dtype=np.int64)
+    kind = np.empty(len(leads), dtype=np.int64)
     kind[by] = np.cumsum(new) - 1
+    kind = kind[np.cumsum(lead_run) - 1]  # of every run
     lead = by[new]  # one run of each kind; kinds are in the order of anchors
-    copies = np.bincount(kind)
-    anchor = x["anchor"][lead]
+    words, n = _gather(x["words"], n, lead), n[lead]
+    first = np.cumsum(n) - n
+    anchor, inner = x["anchor"][leads[lead]], x["inner"][leads[lead]] != 0
     alone = np.concatenate([[True], anchor[1:] != anchor[:-1]]) & np.concatenate([anchor[1:] != anchor[:-1], [True]])
-    many = copies > 1
-    search = (~alone | (x["inner"][lead] != 0)) & ~(alone & many)
+    many = np.bincount(kind) > 1
+    search = (~alone | inner) & ~(alone & many)
     flags = np.zeros(len(words), dtype=bool)
     todo = np.flatnonzero(search)
     if len(todo):
-        size = np.cumsum(n[lead[todo]])
+        size = np.cumsum(n[todo])
         cut = [0]
         for i in np.flatnonzero(anchor[todo][1:] != anchor[todo][:-1]) + 1:
             if size[i - 1] - (size[cut[-1] - 1] if cut[-1] else 0) >= ARRAY_WORDS:
                 cut.append(int(i))
         for lo, hi in zip(cut, [*cut[1:], len(todo)]):
-            part = lead[todo[lo:hi]]
+            part = todo[lo:hi]
             at = np.repeat(first[part] - (np.cumsum(n[part]) - n[part]), n[part]) + np.arange(n[part].sum())
             flags[at] = copied(words[at], n[part], length)
     # A passage begins at every word of a run but the last length - 1.
-    begins = place.astype(np.int64) <= np.repeat(n - length, n)
-    flags[np.repeat(many[kind], n) & begins & np.repeat(np.isin(np.arange(len(n)), lead), n)] = True
-    # Stretches in the leading runs, then for every run of the kind.
-    run_of = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(words)) - np.repeat(first, n)
+    flags[np.repeat(many, n) & (place <= np.repeat(n - length, n))] = True
+    # Stretches in the kinds, then for every run of the kind.
     edge = np.flatnonzero(flags)
     if not len(edge):
         return None
-    opens = np.concatenate([[True], (edge[1:] != edge[:-1] + 1) | (run_of[edge[1:]] != run_of[edge[:-1]])])
+    kind_of = np.repeat(np.arange(len(n)), n)
+    opens = np.concatenate([[True], (edge[1:] != edge[:-1] + 1) | (kind_of[edge[1:]] != kind_of[edge[:-1]])])
     a = edge[opens]
     b = edge[np.concatenate([opens[1:], [True]])] + length
-    where = run_of[a]
-    per_kind = np.bincount(kind[where], minlength=len(lead))
+    where = kind_of[a]
+    a, b = a - first[where], b - first[where]
+    per_kind = np.bincount(where, minlength=len(n))
     span_first = np.cumsum(per_kind) - per_kind
-    by_kind = np.argsort(kind[where], kind="stable")
-    a, b, where = a[by_kind] - first[where[by_kind]], b[by_kind] - first[where[by_kind]], where[by_kind]
     times = per_kind[kind]
-    run = np.repeat(np.arange(len(n)), times)
+    run = np.repeat(np.arange(len(kind)), times)
     span = np.repeat(span_first[kind] - (np.cumsum(times) - times), times) + np.arange(times.sum())
     return {"doc": x["doc"][run], "tag": x["tag"][run], "a": a[span] + x["begin"][run], "b": b[span] + x["begin"][run]}
 
@@ -216,8 +238,8 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
     Words are what white space separates; spans are in word offsets, the end
     excluded.  Texts under ``length`` words (null and empty ones too) have none;
     a null doc_id stays null; each of two rows that are alike repeats the other,
-    and they give their spans once; other columns are ignored; an empty table
-    gives none.
+    and they give their spans once; very long texts are searched whole; other
+    columns are ignored; an empty table gives none.
     """
     if not 0 < gram <= length:
         raise ValueError("gram must be from 1 to length")

@@ -84,5 +84,25 @@ def test_arrays_are_cut_between_anchors(spark, monkeypatch):
     assert sorted(map(tuple, repeats.repeated_passages(frame(spark, docs)).collect()), key=key) == brute(docs, repeats.LENGTH)
 
 
+def test_equal_runs_send_their_words_once():
+    base = np.arange(500, dtype=np.uint32)
+    n = np.array([60, 55, 60, 60, 55, 57])
+    starts = [0, 100, 0, 0, 100, 100]
+    part = {"anchor": np.array([5, 9, 5, 5, 9, 9], np.uint64), "row": None, "begin": np.arange(6), "n": n, "inner": np.zeros(6, bool), "words": np.concatenate([base[a : a + k] for a, k in zip(starts, n)]), "doc": np.arange(6), "tag": np.zeros(6, np.int32)}
+    del part["row"]
+    batch = repeats._pack_runs([part], 1)
+    x = {k: np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=v) for k, v in (repeats.RUN | {"words": np.dtype(np.uint32)}).items()}
+    assert len(x["words"]) == 60 + 55 + 57 and x["copy"].sum() == 3
+    both = {k: np.concatenate([v, v]) for k, v in x.items()}  # as of two batches
+    found = repeats.shard_spans(both, 50)
+    assert sorted({(d, a - d, b - d) for d, a, b in zip(found["doc"].tolist(), found["a"].tolist(), found["b"].tolist())}) == [(0, 0, 60), (1, 0, 55), (2, 0, 60), (3, 0, 60), (4, 0, 55), (5, 0, 57)]
+
+
+def test_boilerplate_in_every_document(spark):
+    shared = sentence(9, 70, 3000)
+    docs = [(i, sentence(1000 + i, 30, 3000) + " " + shared + " " + sentence(2000 + i, 30, 3000)) for i in range(300)]
+    assert sorted(map(tuple, repeats.repeated_passages(frame(spark, docs)).collect()), key=key) == brute(docs, repeats.LENGTH)
+
+
 def test_empty_table(spark):
     assert repeats.repeated_passages(spark.createDataFrame([], SCHEMA)).count() == 0
