@@ -4,7 +4,8 @@ A mask looks at some of ``SPAN`` consecutive words and ignores the rest, so a
 replaced word at an ignored place doesn't break a hit.  The masked hashes of all
 benchmark items form a table that documents probe at every word under every
 mask; so that no place of a short item (one in ``RUNS``) must agree, its
-runs of a few words are seeds too.  Each hit fixes an alignment of item and document, which is verified: the
+runs of a few words are seeds too, and a still shorter one is its own seed.  Together
+they miss no pattern of differences that ``SHARE`` allows.  Each hit fixes an alignment of item and document, which is verified: the
 document is contaminated by the item if, along that alignment, some ``WINDOW``
 consecutive words (all of a shorter item) agree in at least ``SHARE`` of them.
 
@@ -47,66 +48,92 @@ def masked(hashes: np.ndarray, mask: tuple[int, ...], span: int = SPAN) -> np.nd
     return mix(acc)
 
 
+def seeds_of(n: int) -> list[tuple[tuple[int, ...], int]]:
+    """(mask, span) for an item of n words.  Whatever words SHARE lets differ, one of them agrees somewhere; under SPAN words, all must."""
+    if n < SPAN:
+        return [(tuple(range(n)), n)] if n else []
+    return [(mask, SPAN) for mask in MASKS] + ([(RUNS[n], len(RUNS[n]))] if n in RUNS else [])
+
+
+def _spans(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
 class Seeds:
-    """The masked hashes of some items, sorted, with a bit table in front."""
+    """The masked hashes of some items, sorted, with a table of bits in front."""
 
     def __init__(self, ids: list, words: list[np.ndarray]):
-        self.ids, self.words = ids, words
+        self.ids = ids
+        self.size = np.array([len(w) for w in words], dtype=np.int64)
+        self.first = np.cumsum(self.size) - self.size
+        self.words = np.concatenate([np.zeros(0, np.uint64), *words])
         found = []
+        of = [seeds_of(len(w)) for w in words]
         #: The masks and their spans; those of short items only where there are any.
-        self.masks = [(mask, SPAN) for mask in MASKS] + sorted({(RUNS[n], len(RUNS[n])) for n in map(len, words) if n in RUNS})
+        self.masks = sorted({m for own in of for m in own})
         for item, w in enumerate(words):
-            for mask, span in self.masks:
-                if span < SPAN and RUNS.get(len(w)) != mask:
-                    continue
+            for mask, span in of[item]:
                 h = masked(w, mask, span)
-                found.append((h, np.full(len(h), item), np.arange(len(h))))
-        self.hash, self.item, self.at = (np.concatenate([np.zeros(0, k), *x]) for k, x in zip((np.uint64, np.int64, np.int64), zip(*found) if found else ((), (), ())))
+                found.append((h, np.full(len(h), item, np.int32), np.arange(len(h), dtype=np.int32)))
+        self.hash, self.item, self.at = (np.concatenate([np.zeros(0, k), *x]) for k, x in zip((np.uint64, np.int32, np.int32), zip(*found) if found else ((), (), ())))
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.at = self.hash[order], self.item[order], self.at[order]
         self.bits = max(16, int(len(self.hash)).bit_length() + 5)
-        self.table = np.zeros(1 << self.bits, dtype=bool)
-        self.table[self._cell(self.hash)] = True
+        table = np.zeros(1 << self.bits, dtype=bool)
+        table[self._cell(self.hash)] = True
+        self.table = np.packbits(table)
 
     def _cell(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def alignments(self, s: Slice) -> np.ndarray:
         """Distinct (row, item, word of the document where the item would begin)."""
-        out = []
+        out = [np.zeros((0, 3), np.int64)]
         for mask, span in self.masks:
             h = masked(s.hashes, mask, span)
-            p = np.flatnonzero(self.table[self._cell(h)])
+            cell = self._cell(h)
+            p = np.flatnonzero(self.table[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1)
             lo, hi = np.searchsorted(self.hash, h[p], "left"), np.searchsorted(self.hash, h[p], "right")
             n = hi - lo
             p, lo, n = p[n > 0], lo[n > 0], n[n > 0]
             row = np.searchsorted(s.first, p, side="right") - 1
             inside = p + span <= s.first[row + 1]
             p, lo, n, row = p[inside], lo[inside], n[inside], row[inside]
-            k = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
+            k = _spans(lo, n)
             out.append(np.stack([np.repeat(row, n), self.item[k], np.repeat(p - s.first[row], n) - self.at[k]], axis=1))
         return np.unique(np.concatenate(out), axis=0)
 
-    def verified(self, s: Slice) -> list[tuple[int, int, int, int, int]]:
-        """(row, item, matches, overlap, start) of the best alignment of each row and item that passes."""
-        best: dict[tuple[int, int], tuple] = {}
-        for row, item, begin in self.alignments(s).tolist():
-            words = self.words[item]
-            doc = s.hashes[s.first[row] : s.first[row + 1]]
-            lo, hi = max(begin, 0), min(begin + len(words), len(doc))
-            same = doc[lo:hi] == words[lo - begin : hi - begin]
-            width = min(WINDOW, len(words))
-            if hi - lo < width:
-                continue
+    def verified(self, s: Slice, most: int = 1 << 22) -> list[tuple[int, int, int, int, int]]:
+        """(row, item, matches, overlap, start) of the best alignment of each row and item that passes: most matches, then most overlap, then the first."""
+        row, item, begin = self.alignments(s).T
+        n = self.size[item]
+        lo, hi = np.maximum(begin, 0), np.minimum(begin + n, np.diff(s.first)[row])
+        width = np.minimum(WINDOW, n)
+        row, item, begin, n, lo, hi, width = (v[hi - lo >= width] for v in (row, item, begin, n, lo, hi, width))
+        size = hi - lo
+        need = np.where(n < SPAN, n, -(-width * SHARE.numerator // SHARE.denominator))
+        matches, best = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
+        ends = np.cumsum(size)
+        a = 0
+        while a < len(row):  # about ``most`` words at a time
+            b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")), a + 1)
+            k = slice(a, b)
+            same = s.hashes[_spans(s.first[row[k]] + lo[k], size[k])] == self.words[_spans(self.first[item[k]] + lo[k] - begin[k], size[k])]
             run = np.concatenate([[0], np.cumsum(same)])
-            if (run[width:] - run[:-width]).max() * SHARE.denominator >= width * SHARE.numerator:
-                found = (int(run[-1]), hi - lo, -lo)
-                if found > best.get((row, item), (-1,)):
-                    best[row, item] = found
-        return [(row, item, n, size, -at) for (row, item), (n, size, at) in best.items()]
-
-
-def _item_words(benchmark: DataFrame) -> DataFrame:
+            start = np.cumsum(size[k]) - size[k]
+            matches[k] = run[start + size[k]] - run[start]
+            windows = size[k] - width[k] + 1
+            at = _spans(start, windows)
+            best[k] = np.maximum.reduceat(run[at + np.repeat(width[k], windows)] - run[at], np.cumsum(windows) - windows)
+            a = b
+        row, item, matches, size, lo = (v[best >= need] for v in (row, item, matches, size, lo))
+        order = np.lexsort((lo, -size, -matches, item, row))
+        row, item, matches, size, lo = (v[order] for v in (row, item, matches, size, lo))
+        new = np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1])])[: len(row)]
+        return list(zip(*(v[new].tolist() for v in (row, item, matches, size, lo))))
+
+
+def _item_words(benchmark: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in slices(batch.column(1), FOLDED):
@@ -114,12 +141,12 @@ def _item_words(benchmark: DataFrame) -> DataFrame:
 
     common.reachable(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return items.mapInArrow(run, "item_id bigint, words array<bigint>").filter(F.size("words") >= SPAN)
+    return items.mapInArrow(run, "item_id bigint, words array<bigint>").filter(F.size("words") >= least)
 
 
-def seed_tables(benchmark: DataFrame, most: int = SENT_WORDS) -> Iterator[Seeds]:
-    """The benchmark's seeds, in parts of about ``most`` words."""
-    items = _item_words(benchmark)
+def seed_tables(benchmark: DataFrame, most: int = SENT_WORDS, least: int = SPAN) -> Iterator[Seeds]:
+    """The benchmark's seeds, in parts of about ``most`` words; of items of ``least`` words on."""
+    items = _item_words(benchmark, least)
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     parts = -(-total // most)
     for part in range(parts):
@@ -128,19 +155,21 @@ def seed_tables(benchmark: DataFrame, most: int = SENT_WORDS) -> Iterator[Seeds]
         yield Seeds([r[0] for r in rows], [np.array(r[1], dtype=np.int64).view(np.uint64) for r in rows])
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, most: int = SENT_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, most: int = SENT_WORDS, least: int = SPAN) -> DataFrame:
     """(doc_id, item_id, n_match, n_overlap, start_word): every document and benchmark item that overlap.
 
     The best alignment of each pair: words that agree, words compared, and the
-    document's word it begins at.  Words are folded.  Items under ``SPAN`` words
-    (null and empty ones too) are too short to tell and never match, nor do null
-    and empty documents; null ids stay null; repeated rows, of documents and of
-    items, give repeated matches; other columns are ignored; an empty table gives
-    none.
+    document's word it begins at.  Of alignments that tie in the words that agree,
+    the one with more words compared counts, then the first.  Words are folded.
+    Items under ``SPAN`` words, if ``least`` lets them in, match where all their
+    words stand in a row.  Items under ``least`` words (null and empty ones
+    always) never match, nor do null and empty documents; very long texts are
+    read whole; null ids stay null; repeated rows, of documents and of items, give
+    repeated matches; other columns are ignored; an empty table gives none.
     """
     schema = "doc_id bigint, item_id bigint, n_match int, n_overlap int, start_word int"
     rows, found = common.id_and_text(docs), None
-    for seeds in seed_tables(benchmark, most):
+    for seeds in seed_tables(benchmark, most, least):
         sent = docs.sparkSession.sparkContext.broadcast(seeds)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -158,7 +187,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = SENT
     """The rows of docs that no benchmark item overlaps, all columns as they are.
 
     Null and empty texts stay; rows are judged by themselves, so repeated rows
-    stay or go together.
+    stay or go together; a null doc_id, other columns and very long texts make no
+    difference; an empty table stays empty.  An item under ``SPAN`` words is no
+    reason to remove a text: so few words stand in a row by chance.
     """
     out = docs
     at = docs.columns.index("text")
@@ -178,4 +209,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, most: int = SENT
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return contamination(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"), least=1)

@@ -66,6 +66,47 @@ def test_short_items_with_any_words_replaced(spark):
     assert got == {k for k, _ in docs}
 
 
+def test_seeds_miss_nothing_that_the_share_allows():
+    """Every pattern of differences in items (or windows) of every length, by enumeration."""
+    from itertools import combinations
+
+    for n in range(1, decontaminate.WINDOW + 1):
+        most = n - -(-n * 4 // 5) if n >= decontaminate.SPAN else 0
+        seeds = decontaminate.seeds_of(n)
+        if n == decontaminate.WINDOW:  # of longer items too
+            assert seeds == decontaminate.seeds_of(100)
+        for gone in combinations(range(n), most):
+            assert any(not {at + m for m in mask} & set(gone) for mask, span in seeds for at in range(n - span + 1))
+
+
+def test_everything_that_brute_force_finds_is_found(spark):
+    r = random.Random(11)
+    bench = [(n, sentence(50 + n, n, 40)) for n in range(8, 30)] + [(100 + n, sentence(200 + n, n, 40)) for n in range(8, 15)]
+    docs = []
+    for i in range(150):
+        w = r.choice(bench)[1].split()
+        a = r.randrange(max(len(w) - 8, 1))
+        own = [f"w{r.randrange(40)}" if r.random() < 0.12 else x for x in w[a : a + r.randrange(8, 20)]]
+        docs.append((i, sentence(300 + i, r.randrange(4), 40) + " " + " ".join(own) + " " + sentence(500 + i, r.randrange(9), 40)))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.contamination(frame(spark, docs), items(spark, bench)).collect()}
+    assert got == {(k, i) for k, t in docs for i, x in bench if matches(t, x)} and len(got) > 60
+
+
+def test_the_best_alignment_is_reported(spark):
+    item = sentence(5, 20, 5000).split()
+    docs = [(1, " ".join(item[:14] + ["x"] + item)), (2, " ".join(item + item)), (3, " ".join(item[3:]))]
+    got = sorted(map(tuple, decontaminate.contamination(frame(spark, docs), items(spark, [(1, " ".join(item))])).collect()))
+    assert got == [(1, 1, 20, 20, 15), (2, 1, 20, 20, 0), (3, 1, 17, 17, 0)]
+
+
+def test_items_of_a_few_words_match_as_a_whole(spark):
+    bench = [(1, "Forty-two"), (2, "one two three four five"), (3, "single"), (4, ""), (5, None), (6, " ...")]
+    docs = [(10, "the answer is forty two, they say"), (11, "forty and two"), (12, "zero ONE two three four five six"), (13, "one two three x four five"), (14, "a SINGLE word"), (15, ""), (16, None), (17, "forty"), (18, "two forty")]
+    got = {(r.doc_id, r.item_id, r.n_match, r.start_word) for r in decontaminate.contamination(frame(spark, docs), items(spark, bench), least=1).collect()}
+    assert got == {(10, 1, 2, 3), (12, 2, 5, 1), (14, 3, 1, 1)}
+    assert decontaminate.without_contaminated(frame(spark, docs), items(spark, bench)).count() == len(docs)
+
+
 def test_every_mask_ignores_what_it_should():
     h = np.arange(40, dtype=np.uint64) * np.uint64(77777)
     for mask in decontaminate.MASKS:
