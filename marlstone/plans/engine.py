@@ -305,7 +305,7 @@ class Session:
         return self._expression(c["default"]) if c["default"] else None
 
     def _complete(self, table: str, columns: list[str], rows: DataFrame) -> DataFrame:
-        """rows with all columns of the table: defaults, identities, generated columns, types."""
+        """rows with all columns of the table: defaults, identities, generated columns, types; and ``__row``, which rises in their order."""
         for c in columns:
             self._column(table, c)
         generated = [c for c in self.store.table(table)["columns"] if c["identity"] and c["name"] not in columns]
@@ -324,8 +324,8 @@ class Session:
             else:
                 x = self._expression(c["default"]) if c["default"] else "NULL"
             select.append(F.expr(f"CAST({x} AS {c['type']}) AS {name(own)}"))
-        out = self._regenerate(table, rows.select(select))
-        return out.select([name(c["name"]) for c in self.store.table(table)["columns"]])
+        out = self._regenerate(table, rows.select(*select, F.monotonically_increasing_id().alias("__row")))
+        return out.select(*(name(c["name"]) for c in self.store.table(table)["columns"]), "__row")
 
     def _numbered(self, rows: DataFrame) -> DataFrame:
         """rows with `__number`, 0, 1, 2, …: by partition, from the partitions' counts."""
@@ -341,8 +341,8 @@ class Session:
 
     def _insert(self, table: str, columns: list[str], rows: DataFrame, conflict: dict | None = None, returning: list | None = None) -> Result:
         meta = self.store.table(table)
-        path = self.store.write(self._complete(table, columns, rows))
-        new = self.store.load([path], self.store.schema(table))
+        path = self.store.write(self._complete(table, columns, rows))  # readers of the table don't see __row
+        new = self.store.load([path], T.StructType([*self.store.schema(table), T.StructField("__row", T.LongType())]))
         count = new.count()
         for c in meta["columns"]:
             if c["identity"]:
@@ -350,30 +350,30 @@ class Session:
                 if top is not None and top >= s["next"]:
                     s["next"] = top + s["step"]
         self._check_rows(table, new, "INSERT")
-        current = self.store.read(table, self.branch)
         if conflict is not None:
-            return self._upsert(table, new, current, conflict, returning)
-        self._check_unique(table, new, current)
+            return self._upsert(table, new, conflict, returning)
+        self._check_unique(table, new, self.store.read(table, self.branch))
         self.store.append(table, self.branch, path)
         self._check_references(table, new)
-        return Result(f"INSERT 0 {count}", self._returning(table, table, new, returning), count)
+        return Result(f"INSERT 0 {count}", self._returning(table, new, "__row", returning), count)
 
-    def _upsert(self, table: str, new: DataFrame, current: DataFrame, conflict: dict, returning: list | None) -> Result:
+    def _upsert(self, table: str, new: DataFrame, conflict: dict, returning: list | None) -> Result:
         meta = self.store.table(table)
         target = conflict["target"] or meta["pk"] or (meta["unique"] or [[]])[0]
         if not target or (sorted(target) not in [sorted(k) for k in [meta["pk"], *meta["unique"], *(i["columns"] for i in meta["indexes"] if i["unique"])] if k]):
             raise SqlError("42P10", "there is no unique constraint for ON CONFLICT")
         names = [c["name"] for c in meta["columns"]]
-        w = Window.partitionBy(*map(name, target)).orderBy(F.monotonically_increasing_id())
-        numbered = new.withColumn("__n", F.row_number().over(w))
+        current = self.store.read(table, self.branch, ids=True)
+        numbered = new.withColumn("__n", F.row_number().over(Window.partitionBy(*map(name, target)).orderBy("__row")))
         once = numbered.filter("__n = 1").drop("__n")
+        fresh = once.join(current, target, "left_anti").select(*map(name, names), "__row")
         if conflict["set"] is None:
-            fresh = stored(once.join(current, target, "left_anti").select(names), "upsert")
+            fresh = stored(fresh, "upsert")
             self._check_unique(table, fresh, current, skip=target)
-            self.store.append(table, self.branch, self.store.write(fresh))
+            self.store.append(table, self.branch, self.store.write(fresh.drop("__row")))
             self._check_references(table, fresh)
             n = fresh.count()
-            return Result(f"INSERT 0 {n}", self._returning(table, table, fresh, returning), n)
+            return Result(f"INSERT 0 {n}", self._returning(table, fresh, "__row", returning), n)
         if not numbered.filter("__n > 1").isEmpty():
             raise SqlError("21000", "ON CONFLICT DO UPDATE can't touch a row twice")
         both = current.alias(table).join(once.alias("excluded"), [F.col(f"{name(table)}.{name(c)}") == F.col(f"excluded.{name(c)}") for c in target])
@@ -381,17 +381,15 @@ class Session:
             both = both.filter(conflict["where"])
         sets = dict(conflict["set"])
         qualified = {c: re.sub(r"(?<![\w`.])`(" + "|".join(map(re.escape, names)) + r")`(?!\.)", lambda m: f"{name(table)}.{m[0]}", x or self._default(table, c) or "NULL") for c, x in sets.items()}
-        updated = both.select([F.expr(f"CAST({qualified[c['name']]} AS {c['type']})").alias(c["name"]) if c["name"] in sets else F.col(f"{name(table)}.{name(c['name'])}").alias(c["name"]) for c in meta["columns"]])
+        updated = both.select("__id", "__row", *(F.expr(f"CAST({qualified[c['name']]} AS {c['type']})").alias(c["name"]) if c["name"] in sets else F.col(f"{name(table)}.{name(c['name'])}").alias(c["name"]) for c in meta["columns"]))
         updated = stored(self._regenerate(table, updated), "upsert")
-        fresh = once.join(current, target, "left_anti").select(names)
-        touched = stored(updated.unionByName(fresh), "upsert")
+        touched = stored(updated.select(*map(name, names), "__row").unionByName(fresh), "upsert")
         self._check_rows(table, touched, "UPDATE")
-        rest = current.join(updated, target, "left_anti").select(names)
-        self._check_unique(table, touched, rest)
-        self.store.replace(table, self.branch, rest.unionByName(touched))
+        self._check_unique(table, touched, current.join(updated, "__id", "left_anti"))
+        self.store.change(table, self.branch, updated, self.store.write(touched.drop("__row")))
         self._check_references(table, touched)
         n = touched.count()
-        return Result(f"INSERT 0 {n}", self._returning(table, table, touched, returning), n)
+        return Result(f"INSERT 0 {n}", self._returning(table, touched, "__row", returning), n)
 
     def _regenerate(self, table: str, rows: DataFrame) -> DataFrame:
         for c in self.store.table(table)["columns"]:
@@ -399,26 +397,29 @@ class Session:
                 rows = rows.withColumn(c["name"], F.expr(f"CAST({self._expression(c['generated'])} AS {c['type']})"))
         return rows
 
-    def _returning(self, table: str, alias: str, rows: DataFrame, items: list | None) -> DataFrame | None:
+    def _returning(self, alias: str, rows: DataFrame, order: str, items: list | None) -> DataFrame | None:
+        """The RETURNING list over rows, which come in the order of a column of theirs that isn't shown."""
         if items is None:
             return None
         shown = ", ".join(x + (f" AS {name(a)}" if a else "") for x, a in items)
-        return self.spark.sql(f"SELECT {shown} FROM {self._view(rows)} AS {name(alias)}")
+        return self.spark.sql(f"SELECT {shown} FROM {self._view(rows.orderBy(order).drop(order))} AS {name(alias)}")
 
-    def _touched(self, table: str, alias: str, extra: list[str], source: str | None, where: str | None, command: str) -> tuple[DataFrame, DataFrame]:
-        """All rows, numbered, and the numbers (with extra expressions) of those that the statement touches.
+    def _touched(self, table: str, alias: str, extra: list[str], source: str | None, where: str | None, command: str) -> DataFrame:
+        """``__id``, the old columns (``__old_…``) and extra expressions of the rows that a statement touches.
 
         Of several source rows that match, one counts (the least).
         """
-        rows = stored(self.store.read(table, self.branch).withColumn("__id", F.monotonically_increasing_id()), "rows")
-        seen = self._visible(table, self._visible(table, rows, "SELECT"), command)
-        items = ", ".join([f"{name(alias)}.`__id` AS `__id`", *extra])
-        sql = f"SELECT {items} FROM {self._view(seen)} AS {name(alias)}" + (f" CROSS JOIN {source}" if source else "") + (f" WHERE {where}" if where else "")
+        seen = self._visible(table, self._visible(table, self.store.read(table, self.branch, ids=True), "SELECT"), command)
+        old = [f"{name(alias)}.{name(c['name'])} AS {name('__old_' + c['name'])}" for c in self.store.table(table)["columns"]]
+        sql = f"SELECT {', '.join([f'{name(alias)}.`__id` AS `__id`', *old, *extra])} FROM {self._view(seen)} AS {name(alias)}" + (f" CROSS JOIN {source}" if source else "") + (f" WHERE {where}" if where else "")
         hit = self.spark.sql(sql)
         if source:
             values = [c for c in hit.columns if c != "__id"]
-            hit = hit.groupBy("__id").agg(F.min(F.struct(*map(name, values))).alias("__v")).select("__id", *(F.col("__v").getField(c).alias(c) for c in values)) if values else hit.distinct()
-        return rows, stored(hit, "touched")
+            hit = hit.groupBy("__id").agg(F.min(F.struct(*map(name, values))).alias("__v")).select("__id", *(F.col("__v").getField(c).alias(c) for c in values))
+        return stored(hit, "touched")
+
+    def _old(self, table: str, hit: DataFrame) -> DataFrame:
+        return hit.select("__id", *(F.col(name("__old_" + c["name"])).alias(c["name"]) for c in self.store.table(table)["columns"]))
 
     def _do_update(self, st) -> Result:
         meta = self.store.table(st.table)
@@ -426,28 +427,30 @@ class Session:
             if self._column(st.table, c)["generated"]:
                 raise SqlError("428C9", f"column {c!r} is generated")
         sets = {c: f"CAST({x if x is not None else self._default(st.table, c) or 'NULL'} AS {self._column(st.table, c)['type']}) AS {name('__new_' + c)}" for c, x in st.set}
-        rows, hit = self._touched(st.table, st.alias, list(sets.values()), getattr(st, "from", None) if "from" in st.parts and st.parts["from"] else None, st.where, "UPDATE")
-        joined = rows.join(hit, "__id")
+        hit = self._touched(st.table, st.alias, list(sets.values()), getattr(st, "from", None) if "from" in st.parts and st.parts["from"] else None, st.where, "UPDATE")
         names = [c["name"] for c in meta["columns"]]
-        new = joined.select("__id", *(F.col(name("__new_" + c)).alias(c) if c in sets else F.col(name(c)) for c in names))
-        new = stored(self._regenerate(st.table, new), "updated")
+        new = hit.select("__id", *(F.col(name(("__new_" if c in sets else "__old_") + c)).alias(c) for c in names))
+        path = self.store.write(self._regenerate(st.table, new), "rows")  # readers of the table don't see __id
+        new = self.spark.read.parquet(path)
         count = new.count()
-        touched, rest = new.drop("__id"), rows.join(hit, "__id", "left_anti").drop("__id")
-        self._check_rows(st.table, touched, "UPDATE")
-        self._check_unique(st.table, touched, rest)
-        old = rows.join(hit.select("__id"), "__id", "left_semi").drop("__id")
-        self.store.replace(st.table, self.branch, rest.unionByName(touched))
-        self._check_references(st.table, touched)
-        self._parent_changed(st.table, old, "update", new=rows.join(hit.select("__id"), "__id").select("__id", *map(name, names)).join(new.select("__id", *(F.col(name(c)).alias("__to_" + c) for c in names)), "__id"))
-        return Result(f"UPDATE {count}", self._returning(st.table, st.alias, touched, st.returning), count)
+        self._check_rows(st.table, new, "UPDATE")
+        changed = set(sets) | {c["name"] for c in meta["columns"] if c["generated"]}
+        if count:
+            self._check_unique(st.table, new, self.store.read(st.table, self.branch, ids=True).join(hit, "__id", "left_anti"), changed=changed)
+            self.store.change(st.table, self.branch, hit, path)
+            if any(changed & set(fk["columns"]) for fk in meta["fks"]):
+                self._check_references(st.table, new)
+            moved = self._old(st.table, hit).join(new.select("__id", *(F.col(name(c)).alias("__to_" + c) for c in names)), "__id")
+            self._parent_changed(st.table, self._old(st.table, hit), "update", new=moved)
+        return Result(f"UPDATE {count}", self._returning(st.alias, new, "__id", st.returning), count)
 
     def _do_delete(self, st) -> Result:
-        rows, hit = self._touched(st.table, st.alias, [], st.parts["from"], st.where, "DELETE")
-        old = stored(rows.join(hit, "__id", "left_semi").drop("__id"), "deleted")
-        count = old.count()
-        self.store.replace(st.table, self.branch, rows.join(hit, "__id", "left_anti").drop("__id"))
-        self._parent_changed(st.table, old, "delete")
-        return Result(f"DELETE {count}", self._returning(st.table, st.alias, old, st.returning), count)
+        hit = self._touched(st.table, st.alias, [], st.parts["from"], st.where, "DELETE")
+        old, count = self._old(st.table, hit), hit.count()
+        if count:
+            self.store.change(st.table, self.branch, hit)
+            self._parent_changed(st.table, old, "delete")
+        return Result(f"DELETE {count}", self._returning(st.alias, old, "__id", st.returning), count)
 
     def _do_truncate(self, st) -> Result:
         for t in st.tables:
@@ -475,14 +478,19 @@ class Session:
             if bad:
                 raise SqlError(state, message)
 
-    def _check_unique(self, table: str, new: DataFrame, rest: DataFrame, skip: list[str] | None = None) -> None:
-        """PRIMARY KEY, UNIQUE and unique indexes: among the new rows, and against the rest; nulls are distinct."""
+    def _check_unique(self, table: str, new: DataFrame, rest: DataFrame, skip: list[str] | None = None, changed: set[str] | None = None) -> None:
+        """PRIMARY KEY, UNIQUE and unique indexes: among the new rows, and against the rest; nulls are distinct.
+
+        Keys of columns only that aren't among the ``changed`` ones are still unique.
+        """
         meta = self.store.table(table)
         keys: list[tuple[list[str], str | None]] = [(k, None) for k in [meta["pk"], *meta["unique"]] if k]
         keys += [(i["keys"], i["where"]) for i in meta["indexes"] if i["unique"]]
         for key, where in keys:
             if skip and sorted(key) == sorted(skip):
                 continue
+            if changed is not None and where is None and not changed & set(key) and set(key) <= {c["name"] for c in meta["columns"]}:
+                continue
             texts = [self._expression(k) for k in key]
             columns = [F.expr(x).alias(f"k{i}") for i, x in enumerate(texts)]
             pick = lambda rows: (rows.filter(self._expression(where)) if where else rows).select(columns).dropna()  # noqa: B023, E731
@@ -524,26 +532,25 @@ class Session:
                 keys = [f"k{i}" for i in range(len(to))]
                 still = self.store.read(table, self.branch).select([F.col(name(c)).alias(k) for c, k in zip(to, keys)])
                 gone = old.select([F.col(name(c)).alias(k) for c, k in zip(to, keys)]).dropna().join(still, keys, "left_anti").distinct()
-                rows = self.store.read(child, self.branch)
+                rows = self.store.read(child, self.branch, ids=True)
                 own = [F.col(name(c)).alias(k) for c, k in zip(fk["columns"], keys)]
                 hit = stored(rows.select("*", *own).join(gone, keys, "left_semi").drop(*keys), "children")
                 if hit.isEmpty():
                     continue
                 action = fk[event]
-                names = rows.columns
-                rest = rows.select("*", *own).join(gone, keys, "left_anti").select(names)
+                names = [c["name"] for c in meta["columns"]]
                 if action == "CASCADE" and event == "delete":
-                    self.store.replace(child, self.branch, rest)
+                    self.store.change(child, self.branch, hit)
                     self._parent_changed(child, hit, "delete", depth=depth + 1)
                 elif action == "CASCADE" and new is not None:
                     moves = new.select([F.col(name(c)).alias(k) for c, k in zip(to, keys)] + [F.col(name("__to_" + c)).alias("n" + k) for c, k in zip(to, keys)]).distinct()
                     moved = hit.select("*", *own).join(moves, keys).select([F.col("n" + keys[fk["columns"].index(c)]).alias(c) if c in fk["columns"] else F.col(name(c)) for c in names])
-                    self.store.replace(child, self.branch, rest.unionByName(moved))
+                    self.store.change(child, self.branch, hit, self.store.write(moved))
                 elif action in ("SET NULL", "SET DEFAULT"):
                     value = lambda c: (self._default(child, c) or "NULL") if action == "SET DEFAULT" else "NULL"  # noqa: B023, E731
                     changed = hit.select([F.expr(f"CAST({value(c)} AS {self._column(child, c)['type']})").alias(c) if c in fk["columns"] else F.col(name(c)) for c in names])
                     self._check_rows(child, changed, "UPDATE")
-                    self.store.replace(child, self.branch, rest.unionByName(changed))
+                    self.store.change(child, self.branch, hit, self.store.write(changed))
                 elif self.open and (fk["name"] in self.deferred or (fk["deferred"] and "!" + fk["name"] not in self.deferred)):
                     self.pending.append((child, fk))
                 else:

@@ -2,9 +2,11 @@
 
 A catalog is a JSON document per version (``catalog-<n>``); a commit creates
 the next one, which fails if another writer did so first.  A table on a branch
-is a list of Parquet folders.  On the main branch they hold all rows; on another
-branch they hold changed rows, with the keys of removed ones beside them, and
-reading lays them over the parent's rows.  Tables without a primary key are
+is a list of Parquet folders.  On the main branch they hold all rows, and lists
+of (file, row number) beside them tell which rows are gone: a change writes its
+new rows and such a list, and what it doesn't touch stays where it is.  On another
+branch the folders hold changed rows, with the keys of removed ones beside them,
+and reading lays them over the parent's rows.  Tables without a primary key are
 copied when a branch first writes to them.  Folders are never changed, so
 readers keep their snapshot.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import copy
 import json
+import re
 import uuid
 from functools import reduce
 
@@ -20,10 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lexer import SqlError
+from ..functions.lexer import SqlError, name
 from .shared import Files
 
 MAIN = "main"
+ABANDONED = 60
+#: Where a stored row is.
+PLACE = "struct<file:string,at:bigint>"
 EMPTY = {"tables": {}, "data": {MAIN: {}}, "branches": {MAIN: {"parent": None, "base": {}}}, "views": {}, "sequences": {}, "types": {}}
 
 
@@ -36,9 +42,17 @@ class Store:
         self.refresh()
 
     def refresh(self) -> None:
+        """The latest state.  A catalog that was never finished counts as nothing after ``ABANDONED`` seconds."""
         self.version = self.files.latest("catalog")
-        text = self.files.read(f"catalog-{self.version}") if self.version >= 0 else None
-        self.state = json.loads(text) if text else copy.deepcopy(EMPTY)
+        for n in range(self.version, -1, -1):
+            text = self.files.read(f"catalog-{n}")
+            try:
+                self.state = json.loads(text)
+                return
+            except (TypeError, ValueError):
+                if self.files.age(f"catalog-{n}") < ABANDONED:
+                    raise SqlError("40001", "another session is changing the database") from None
+        self.state = copy.deepcopy(EMPTY)
 
     def commit(self) -> None:
         """Publish the state; SQLSTATE 40001 if the catalog changed since it was read."""
@@ -70,6 +84,20 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def _full(self, layer: dict, schema: T.StructType, ids: bool = False) -> DataFrame:
+        """The rows of a layer that holds all of them; with ``__id``, their places, if asked for."""
+        if not layer["files"]:
+            rows = self.spark.createDataFrame([], schema)
+            return rows.withColumn("__id", F.lit(None).cast(PLACE)) if ids else rows
+        rows = self.load(layer["files"], schema)
+        if not ids and not layer["gone"]:
+            return rows
+        placed = rows.select("*", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("at")).alias("__id"))
+        if layer["gone"]:
+            gone = self.load(layer["gone"], T.StructType([T.StructField("__id", T._parse_datatype_string(PLACE))]))
+            placed = placed.join(gone, "__id", "left_anti")
+        return placed.select(*map(name, schema.names), "__id") if ids else placed.select(*map(name, schema.names))
+
     def chain(self, branch: str) -> list[str]:
         """The branch, its parent, and so on to main."""
         out = []
@@ -80,8 +108,9 @@ class Store:
             branch = self.state["branches"][branch]["parent"]
         return out
 
-    def read(self, table: str, branch: str = MAIN) -> DataFrame:
-        schema, key = self.schema(table), self.key(table)
+    def read(self, table: str, branch: str = MAIN, ids: bool = False) -> DataFrame:
+        """The table's rows; with ``ids`` also ``__id``, which `change` knows them by."""
+        whole = self._own(table, branch).get("full") if ids else False
         layers = []
         for b in self.chain(branch):
             own = self.state["data"].get(b, {}).get(table)
@@ -89,15 +118,41 @@ class Store:
                 layers.append(own)
                 if own.get("full"):
                     break
-        if not layers:
-            return self.spark.createDataFrame([], schema)
-        rows = self.load(layers[-1]["files"], schema)
+        rows = self._laid(layers, table, ids and whole)
+        return rows.withColumn("__id", F.struct(*map(name, self.key(table)))) if ids and not whole else rows
+
+    def _laid(self, layers: list[dict], table: str, ids: bool = False) -> DataFrame:
+        """Layers from the last to the first that holds all rows, laid over each other."""
+        schema, key = self.schema(table), self.key(table)
+        rows = self._full(layers[-1] if layers else {"files": [], "gone": []}, schema, ids)
         for layer in reversed(layers[:-1]):
             rows = overlay(rows, self.load(layer["files"], schema), self.load(layer["gone"], _only(schema, key)), key)
         return rows
 
     def append(self, table: str, branch: str, path: str) -> None:
-        self._own(table, branch)["files"].append(path)
+        """Add a folder of rows, none of which has the key of another."""
+        own, key = self._own(table, branch), self.key(table)
+        if not own.get("full") and own["gone"]:  # a key that was removed may come back
+            back = self.load([path], _only(self.schema(table), key))
+            own["gone"] = [self.write(self.load(own["gone"], _only(self.schema(table), key)).join(back, key, "left_anti"), "gone")]
+        own["files"].append(path)
+
+    def change(self, table: str, branch: str, ids: DataFrame, path: str | None = None) -> None:
+        """Take the rows with some ids (``__id``, of `read`) out, and add those of a folder.
+
+        On the main branch, that writes the ids only; on another one, the changes
+        that it has.
+        """
+        own, key, schema = self._own(table, branch), self.key(table), self.schema(table)
+        if own.get("full"):
+            own["gone"].append(self.write(ids.select("__id"), "gone"))
+            own["files"] += [path] if path else []
+            return
+        hit = ids.select("__id.*")
+        added = self.load([path], schema) if path else self.spark.createDataFrame([], schema)
+        delta = self.load(own["files"], schema).join(hit, key, "left_anti").select(*map(name, schema.names)).unionByName(added)
+        gone = self.load(own["gone"], _only(schema, key)).unionByName(hit.select(*map(name, key))).distinct().join(added.select(*map(name, key)), key, "left_anti")
+        own["files"], own["gone"] = [self.write(delta, "delta")], [self.write(gone, "gone")]
 
     def replace(self, table: str, branch: str, rows: DataFrame) -> None:
         """All rows of the table on the branch become ``rows``."""
@@ -161,35 +216,41 @@ class Store:
         merged, counts = {}, {}
         for table, own in self.state["data"].get(branch, {}).items():
             schema, key = self.schema(table), self.key(table)
-            theirs, ours = self.read(table, branch), self.read(table, target)
-            if key:
-                changed = self.load(own["files"], schema).select(key).unionByName(self.load(own["gone"], _only(schema, key)))
-                then = self._at_base(table, info["base"].get(table))
+            if not key:
+                theirs = self.read(table, branch)
+                counts[table] = theirs.count()
+                merged[table] = lambda table=table, theirs=theirs: self.replace(table, target, theirs)
+                continue
+            delta, gone = self.load(own["files"], schema), self.load(own["gone"], _only(schema, key))
+            changed = delta.select(*map(name, key)).unionByName(gone).distinct()
+            base = info["base"].get(table)
+            if base != [self.state["data"].get(b, {}).get(table) for b in self.chain(target)]:  # the parent has changed too
+                theirs, ours, then = self.read(table, branch), self.read(table, target), self._at_base(table, base)
                 moved = ours.exceptAll(then).select(key).unionByName(then.exceptAll(ours).select(key)).distinct()
-                both = changed.distinct().join(moved, key)
-                end = lambda rows: rows.join(both, key, "left_semi")
+                both = changed.join(moved, key)
+                end = lambda rows: rows.join(both, key, "left_semi")  # noqa: B023, E731
                 if not both.isEmpty() and not (end(theirs).exceptAll(end(ours)).isEmpty() and end(ours).exceptAll(end(theirs)).isEmpty()):
                     raise SqlError("40001", f"{table!r} has rows that both branches changed")
-                counts[table] = changed.distinct().count()
-                merged[table] = overlay(ours, self.load(own["files"], schema), self.load(own["gone"], _only(schema, key)), key)
-            else:
-                counts[table] = theirs.count()
-                merged[table] = theirs
-        for table, rows in merged.items():
-            self.replace(table, target, rows)
+            counts[table] = changed.count()
+
+            def bring(table: str = table, own: dict = own, changed: DataFrame = changed, key: list[str] = key, schema: T.StructType = schema) -> None:
+                ids = self.read(table, target, ids=True).join(changed, key, "left_semi").select("__id")
+                if self._own(table, target).get("full"):
+                    self.change(table, target, ids)
+                    self._own(table, target)["files"] += own["files"]
+                else:
+                    ids = changed.select(F.struct(*map(name, key)).alias("__id"))
+                    self.change(table, target, ids, self.write(self.load(own["files"], schema), "delta"))
+
+            merged[table] = bring
+        for bring in merged.values():
+            bring()
         self.state["data"][branch] = {}
         info["base"] = {t: [copy.deepcopy(self.state["data"].get(b, {}).get(t)) for b in self.chain(target)] for t in self.state["tables"]}
         return counts
 
     def _at_base(self, table: str, layers: list | None) -> DataFrame:
-        schema, key = self.schema(table), self.key(table)
-        found = [x for x in layers or [] if x is not None]
-        if not found:
-            return self.spark.createDataFrame([], schema)
-        rows = self.load(found[-1]["files"], schema)
-        for layer in reversed(found[:-1]):
-            rows = overlay(rows, self.load(layer["files"], schema), self.load(layer["gone"], _only(schema, key)), key)
-        return rows
+        return self._laid([x for x in layers or [] if x is not None], table)
 
     # Backup
 
@@ -197,6 +258,21 @@ class Store:
         """Copy the whole database to another folder."""
         self.files.copy("", to)
 
+    def restore(self, source: str) -> None:
+        """Bring a backup's tables, views, branches and the rest back, as the next version of this database."""
+        there = Files(self.spark, source.rstrip("/"))
+        version = there.latest("catalog")
+        if version < 0:
+            raise SqlError("58P01", f"there is no backup in {source!r}")
+        have = set(self.files.names("data"))
+        for own in there.names("data"):
+            if own not in have:
+                there.copy(f"data/{own}", f"{self.root}/data/{own}")
+        moved = re.sub(r'"[^"]*/data/(\w+-[0-9a-f]{32})"', lambda m: json.dumps(f"{self.root}/data/{m[1]}"), there.read(f"catalog-{version}"))
+        self.refresh()
+        self.state = json.loads(moved)
+        self.commit()
+
 
 def overlay(parent: DataFrame, delta: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
     """Parent rows whose key is neither changed nor gone, and the changed rows."""
