@@ -22,14 +22,14 @@ def _path(path: str) -> list[str]:
 
 
 def set_at(doc, path: list[str], value, create: bool):
-    """doc with value at path; a missing last step is added if ``create``, missing parents leave doc as it is."""
+    """doc with value at path; missing steps of objects are added if ``create``."""
     if not path:
         return doc
     step, rest = path[0], path[1:]
     if isinstance(doc, dict):
-        if step not in doc and (rest or not create):
+        if step not in doc and not create:
             return doc
-        return doc | {step: set_at(doc[step], rest, value, create) if rest else value}
+        return doc | {step: set_at(doc.get(step, {}), rest, value, create) if rest else value}
     if isinstance(doc, list) and step.lstrip("-").isdigit():
         i = int(step)
         i = i + len(doc) if i < 0 else i
@@ -51,8 +51,6 @@ def contains(a, b) -> bool:
 
 def minus(doc, key: str, index: bool):
     if isinstance(doc, dict):
-        if key.startswith("{"):
-            return {k: v for k, v in doc.items() if k not in _path(key)}
         return {k: v for k, v in doc.items() if k != key}
     if isinstance(doc, list):
         if index:
@@ -76,10 +74,19 @@ def register(spark: SparkSession) -> None:
     def pg_jsonb_minus(doc: pd.Series, key: pd.Series, index: pd.Series) -> pd.Series:
         return pd.Series([None if d is None or k is None else _dump(minus(_load(d), k, bool(i))) for d, k, i in zip(doc, key, index)])
 
+    @F.pandas_udf("string")
+    def pg_jsonb_minus_keys(doc: pd.Series, keys: pd.Series) -> pd.Series:
+        def less(d, ks):
+            for k in ks:
+                d = d if k is None else minus(d, k, False)
+            return d
+
+        return pd.Series([None if d is None or k is None else _dump(less(_load(d), k)) for d, k in zip(doc, keys)])
+
     @F.pandas_udf("string")
     def pg_json_typeof(doc: pd.Series) -> pd.Series:
         kinds = {dict: "object", list: "array", str: "string", bool: "boolean", int: "number", float: "number", type(None): "null"}
         return pd.Series([None if d is None else kinds[type(_load(d))] for d in doc])
 
-    for f in (pg_jsonb_set, pg_jsonb_contains, pg_jsonb_minus, pg_json_typeof):
+    for f in (pg_jsonb_set, pg_jsonb_contains, pg_jsonb_minus, pg_jsonb_minus_keys, pg_json_typeof):
         spark.udf.register(f.__name__ if hasattr(f, "__name__") else f.func.__name__, f)

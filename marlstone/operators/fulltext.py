@@ -2,49 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 K1, B = 1.2, 0.75
 STOP_WORDS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 
 
 def terms(text: Column, stop: bool = True) -> Column:
     """Lower-case runs of letters and digits, without English stop words."""
-    found = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
-    return F.filter(found, lambda t: ~t.isin(*sorted(STOP_WORDS))) if stop else found
+    skip = ["", *(sorted(STOP_WORDS) if stop else [])]
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: ~t.isin(skip))
+
+
+def _frequency(term: str) -> Column:
+    return F.size(F.filter("ts", lambda t: t == term))
 
 
 class TextIndex:
-    """Postings (term, id, tf) and lengths of documents; null texts aren't indexed."""
+    """Term lists of documents (null texts aren't indexed), or, once saved, their postings by term."""
 
     def __init__(self, docs: DataFrame, key: str, text: str, stop: bool = True):
         self.key, self.stop = key, stop
-        tokens = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), terms(F.col(text), stop).alias("ts"))
-        self.lengths = tokens.select("id", F.size("ts").alias("dl"))
-        self.postings = tokens.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+        self.tokens = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), terms(F.col(text), stop).alias("ts"))
+        self.path, self.gone = None, None
+
+    def save(self, path: str) -> TextIndex:
+        """Store the postings, sorted by term, and the documents' lengths; a saved index reads only what a query asks for."""
+        spark, path = self.tokens.sparkSession, path.rstrip("/")
+        postings = self.tokens.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{path}/postings")
+        self.tokens.select("id", F.size("ts").alias("dl")).write.parquet(f"{path}/lengths")
+        return TextIndex.load(spark, path, self.key, self.stop)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, key: str, stop: bool = True) -> TextIndex:
+        out = object.__new__(cls)
+        out.key, out.stop, out.path, out.gone, out.tokens = key, stop, path.rstrip("/"), None, None
+        out.spark = spark
+        return out
 
     def delete(self, keys: DataFrame) -> TextIndex:
         """The index without some documents (a one-column DataFrame of keys)."""
         out = object.__new__(TextIndex)
+        out.__dict__ |= self.__dict__
         gone = keys.toDF("id")
-        out.key, out.stop = self.key, self.stop
-        out.lengths, out.postings = (x.join(gone, "id", "left_anti") for x in (self.lengths, self.postings))
+        if self.path:
+            out.gone = gone if self.gone is None else self.gone.unionByName(gone)
+        else:
+            out.tokens = self.tokens.join(gone, "id", "left_anti")
         return out
 
+    def _saved(self, what: str) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.path}/{what}")
+        return rows if self.gone is None else rows.join(self.gone, "id", "left_anti")
+
     def count(self) -> int:
-        return self.lengths.count()
+        return (self._saved("lengths") if self.path else self.tokens).count()
+
+    def _matches(self, wanted: list[str]) -> tuple[DataFrame, DataFrame]:
+        """(id, dl, tf): documents with the frequencies of the wanted terms; and (n, avgdl, df) over all documents."""
+        if self.path:
+            of = self._saved("postings").filter(F.col("term").isin(wanted))
+            rows = of.groupBy("id", "dl").agg(F.array(*(F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)) for t in wanted)).alias("tf"))
+            totals = self._saved("lengths").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+            counted = rows.agg(*(F.count(F.when(F.col("tf")[i] > 0, 1)).alias(f"d{i}") for i in range(len(wanted))))
+            return rows, totals.crossJoin(counted)
+        # One pass over the texts: what they become is as small as their lengths.
+        rows = stored(self.tokens.select("id", F.size("ts").alias("dl"), F.array(*map(_frequency, wanted)).alias("tf")), "matches")
+        return rows, rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *(F.count(F.when(F.col("tf")[i] > 0, 1)).alias(f"d{i}") for i in range(len(wanted))))
 
     def scores(self, query: str) -> DataFrame:
         """(key, score) of all documents that have a term of the query."""
-        spark = self.postings.sparkSession
-        wanted = spark.range(1).select(F.explode(terms(F.lit(query), self.stop)).alias("term")).distinct()
-        hits = self.postings.join(F.broadcast(wanted), "term")  # as many rows as the query has words
-        df = hits.groupBy("term").agg(F.count("*").alias("df"))
-        totals = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        return hits.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals)).groupBy("id").agg(F.sum(weight).alias("score")).withColumnRenamed("id", self.key)
+        spark = self.spark if self.path else self.tokens.sparkSession
+        wanted = sorted(set(spark.range(1).select(terms(F.lit(query), self.stop)).first()[0]))  # the words of the query
+        if not wanted:
+            kind = (self._saved("lengths") if self.path else self.tokens).schema["id"].dataType.simpleString()
+            return spark.createDataFrame([], f"`{self.key}` {kind}, score double")
+        rows, totals = self._matches(wanted)
+        all_ = totals.first()
+        length = 1 - B + B * F.col("dl") / F.lit(float(all_["avgdl"] or 1))
+        score = F.lit(0.0)
+        for i in range(len(wanted)):
+            df, tf = all_[f"d{i}"], F.col("tf")[i]
+            score += F.lit(math.log(1 + (all_["n"] - df + 0.5) / (df + 0.5))) * tf * (K1 + 1) / (tf + K1 * length)
+        return rows.filter(F.exists("tf", lambda n: n > 0)).select(F.col("id").alias(self.key), score.alias("score"))
 
     def search(self, query: str, limit: int = 10) -> DataFrame:
         """The best documents, ties by key."""

@@ -8,14 +8,17 @@ bucket, or in one across a single hyperplane, are ranked exactly.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexer import SqlError
+from ..sources.shared import Files
 
 METRICS = {"<->": "l2", "<=>": "cosine", "<#>": "inner", "l2": "l2", "cosine": "cosine", "inner": "inner"}
 
@@ -25,7 +28,7 @@ def _dot(a: Column, b: Column) -> Column:
 
 
 def distance(a: Column, b: Column, metric: str) -> Column:
-    """L2, cosine distance, or the negative inner product."""
+    """L2, cosine distance, or the negative inner product; null for vectors of other lengths, and for cosine with a vector of zeros."""
     kind = METRICS.get(metric)
     if kind is None:
         raise SqlError("22023", f"metric {metric!r} isn't known")
@@ -33,7 +36,7 @@ def distance(a: Column, b: Column, metric: str) -> Column:
         return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
     if kind == "inner":
         return -_dot(a, b)
-    return 1 - _dot(a, b) / F.sqrt(_dot(a, a) * _dot(b, b))
+    return 1 - F.try_divide(_dot(a, b), F.sqrt(_dot(a, a) * _dot(b, b)))
 
 
 def checked(rows: DataFrame, vector: str, dims: int) -> DataFrame:
@@ -42,9 +45,13 @@ def checked(rows: DataFrame, vector: str, dims: int) -> DataFrame:
 
 
 def search(rows: DataFrame, vector: str, query: Sequence[float], k: int, metric: str = "l2", key: str | None = None) -> DataFrame:
-    """The k rows nearest to one query, with ``distance``; ties by ``key``."""
+    """The k rows nearest to one query, with ``distance``; ties by ``key``.
+
+    Rows without a distance never match: null vectors, those of another length, and
+    vectors of zeros for cosine.
+    """
     q = F.array(*(F.lit(float(x)) for x in query))
-    found = rows.filter(F.col(vector).isNotNull()).withColumn("distance", distance(F.col(vector), q, metric))
+    found = rows.withColumn("distance", distance(F.col(vector), q, metric)).filter(F.col("distance").isNotNull())
     return found.orderBy("distance", *([key] if key else [])).limit(k)
 
 
@@ -53,7 +60,7 @@ def search_many(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: s
     a = rows.select(F.col(key).alias("key"), F.col(vector).alias("v")).filter("v IS NOT NULL")
     b = queries.select(F.col(query_key).alias("query_key"), F.col(query_vector).alias("q")).filter("q IS NOT NULL")
     w = Window.partitionBy("query_key").orderBy("distance", "key")
-    return a.crossJoin(b).select("query_key", "key", distance(F.col("v"), F.col("q"), metric).alias("distance")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return a.crossJoin(b).select("query_key", "key", distance(F.col("v"), F.col("q"), metric).alias("distance")).filter(F.col("distance").isNotNull()).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 class HyperplaneIndex:
@@ -62,11 +69,19 @@ class HyperplaneIndex:
     def __init__(self, rows: DataFrame, key: str, vector: str, dims: int, bits: int = 8, tables: int = 32, seed: int = 7):
         self.key, self.vector, self.dims = key, vector, dims
         self.planes = np.random.default_rng(seed).normal(size=(tables, bits, dims))
-        known = rows.filter(F.col(vector).isNotNull())
+        known = rows.filter(F.size(vector) == dims)  # others never match
         middle = known.select(F.posexplode(vector)).groupBy("pos").agg(F.avg("col")).orderBy("pos").collect()  # one row a dimension
         self.middle = np.array([r[1] for r in middle] or [0.0] * dims)
         self.buckets = known.select("*", F.explode(self._hash(F.col(vector))).alias("bucket"))
 
+    @classmethod
+    def with_middle(cls, middle: np.ndarray, bits: int, tables: int, seed: int) -> HyperplaneIndex:
+        """The hyperplanes alone, through a known middle."""
+        out = object.__new__(cls)
+        out.dims, out.middle = len(middle), middle
+        out.planes = np.random.default_rng(seed).normal(size=(tables, bits, len(middle)))
+        return out
+
     def _hash(self, v: Column) -> Column:
         """One bucket number for each table, by an Arrow-batched matrix product."""
         planes, middle = self.planes.reshape(-1, self.dims), self.middle
@@ -90,3 +105,86 @@ class HyperplaneIndex:
         at = [F.struct(F.lit(t).alias("t"), F.lit(b).alias("b")) for t, b in self._buckets(query)]
         near = self.buckets.filter(F.col("bucket").isin(at)).drop("bucket").dropDuplicates([self.key])
         return search(near, self.vector, query, k, metric, self.key)
+
+
+class VectorTable:
+    """A stored set of vectors of one length, by key, with its hyperplane buckets.
+
+    Each upsert writes one more generation: its vectors, by hash table and sorted by
+    bucket, and its keys.  A search reads only the buckets it looks at, and of a key
+    only the last generation counts.  The hyperplanes go through the middle of the
+    first generation.  ``snapshot`` and ``load`` are a copy of the folder and another
+    object on it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, dims: int, bits: int = 8, tables: int = 32, seed: int = 7):
+        self.spark, self.path, self.dims = spark, path.rstrip("/"), dims
+        self.files = Files(spark, self.path)
+        made = self.files.read("index") if self.files.names("") else None
+        if made is None:
+            self.index = None
+            self.how = {"bits": bits, "tables": tables, "seed": seed}
+        else:
+            held = json.loads(made)
+            if held["dims"] != dims:
+                raise SqlError("22000", f"the vectors have {held['dims']} dimensions")
+            self._use(held)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> VectorTable:
+        """What was stored, or copied by ``snapshot``, under a path."""
+        text = Files(spark, path.rstrip("/")).read("index")
+        if text is None:
+            raise SqlError("58P01", f"there is no vector table in {path!r}")
+        return cls(spark, path, json.loads(text)["dims"])
+
+    def _use(self, held: dict) -> None:
+        self.how = held["how"]
+        self.index = HyperplaneIndex.with_middle(np.array(held["middle"]), **self.how)
+
+    def upsert(self, rows: DataFrame, key: str = "key", vector: str = "vector") -> None:
+        """Add vectors, or replace those of the same keys; 22000 if one has another length, and nothing is changed."""
+        rows = rows.select(F.col(key).cast("string").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+        if not rows.filter(F.col("key").isNull() | F.col("vector").isNull() | (F.size("vector") != self.dims) | F.exists("vector", lambda x: x.isNull())).isEmpty():
+            raise SqlError("22000", f"a vector hasn't {self.dims} dimensions")
+        if self.index is None:
+            middle = rows.select(F.posexplode("vector")).groupBy("pos").agg(F.avg("col")).orderBy("pos").collect()  # one row a dimension
+            held = {"dims": self.dims, "how": self.how, "middle": [r[1] for r in middle] or [0.0] * self.dims}
+            self.files.create("index", json.dumps(held))
+            self._use(json.loads(self.files.read("index")))
+        n = max((int(g.removeprefix("keys-")) for g in self.files.names("") if g.startswith("keys-")), default=-1) + 1
+        placed = rows.dropDuplicates(["key"]).select("key", "vector", F.explode(self.index._hash(F.col("vector"))).alias("at")).select("key", "vector", F.lit(n).alias("generation"), "at.t", "at.b")
+        placed.repartition("t").sortWithinPartitions("t", "b").write.partitionBy("t").parquet(f"{self.path}/vectors-{n}")
+        keys = self.spark.read.parquet(f"{self.path}/vectors-{n}").filter("t = 0").select("key", F.col("generation").alias("last"))
+        keys.write.parquet(f"{self.path}/keys-{n}")  # what makes the generation count
+
+    def _stored(self, what: str) -> list[str]:
+        done = {g.removeprefix("keys-") for g in self.files.names("") if g.startswith("keys-") and "_SUCCESS" in self.files.names(g)}
+        return [f"{self.path}/{what}-{n}" for n in sorted(done, key=int)]
+
+    def rows(self) -> DataFrame:
+        """(key, vector): every key's last vector."""
+        if not self._stored("keys"):
+            return self.spark.createDataFrame([], "key string, vector array<double>")
+        return self._last(reduce(DataFrame.unionByName, [self.spark.read.parquet(p).filter("t = 0") for p in self._stored("vectors")])).select("key", "vector")
+
+    def _last(self, found: DataFrame) -> DataFrame:
+        keys = reduce(DataFrame.unionByName, [self.spark.read.parquet(p) for p in self._stored("keys")]).groupBy("key").agg(F.max("last").alias("last"))
+        return found.join(keys, "key").filter(F.col("generation") == F.col("last"))
+
+    def search(self, query: Sequence[float], k: int, metric: str = "l2") -> DataFrame:
+        """(key, vector, distance): about the k nearest, from the buckets near the query."""
+        if len(query) != self.dims:
+            raise SqlError("22000", f"the query hasn't {self.dims} dimensions")
+        if not self._stored("keys"):
+            return self.rows().withColumn("distance", F.lit(None).cast("double"))
+        near = {}
+        for t, b in self.index._buckets(query):
+            near.setdefault(t, []).append(b)
+        wanted = reduce(lambda x, y: x | y, [(F.col("t") == t) & F.col("b").isin(bs) for t, bs in near.items()])
+        found = reduce(DataFrame.unionByName, [self.spark.read.parquet(p).filter(wanted) for p in self._stored("vectors")])
+        return search(self._last(found).select("key", "vector").dropDuplicates(["key"]), "vector", query, k, metric, "key")
+
+    def snapshot(self, to: str) -> None:
+        """Copy the table to another folder."""
+        self.files.copy("", to)

@@ -24,7 +24,10 @@ def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"t_{table}")
         return name(f"t_{table}")
 
-    text, recursive = to_spark(sql, resolve=resolve)
+    def types(table: str) -> dict[str, str]:
+        return {f.name: f.dataType.simpleString() for f in spark.table(resolve(table)).schema}
+
+    text, recursive = to_spark(sql, resolve=resolve, types=types)
     for r in recursive:
         base = spark.sql(r.base)
         base = base.toDF(*r.columns) if r.columns else base

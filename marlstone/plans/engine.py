@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +19,7 @@ from ..session import prepare
 from ..sources import copying, pgcatalog
 from ..sources.shared import folder, stored
 from ..sources.store import MAIN, Store
+from ..streaming.spans import SpanTable
 from .parser import Parser, Recursive
 from .statements import StatementParser
 
@@ -40,6 +42,8 @@ class Database:
         self.spark = prepare(spark)
         self.root = root or f"{folder(spark)}/database-{uuid.uuid4().hex}"
         self.listeners: dict[str, list[Callable[[str, str], None]]] = {}
+        #: What SQL reads as the table ``spans``.
+        self.spans = SpanTable(self.spark, f"{self.root.rstrip('/')}/spans")
 
     def session(self, user: str = "admin", branch: str = MAIN) -> Session:
         return Session(self, user, branch)
@@ -60,6 +64,7 @@ class Session:
         self.cursor_plans: dict[str, DataFrame] = {}
         self.prepared: dict[str, str] = {}
         self.currval: dict[str, int] = {}
+        self.local: dict[str, str | None] = {}
 
     # Entry points
 
@@ -74,6 +79,15 @@ class Session:
             raise SqlError("02000", f"{out.tag} returns no rows")
         return out.rows
 
+    def fetch(self, text: str, *params: Any) -> list:
+        """The collected rows; what fails while they are made is an SqlError with its SQLSTATE, too."""
+        try:
+            return self.sql(text, *params).collect()
+        except PySparkException as e:
+            own = re.search(r"\b([0-9A-Z]{5}): ", str(e)) if "raise_error" in str(e) or "USER_RAISED" in str(e) else None
+            state = own[1] if own else "22023" if "JSONDecodeError" in str(e) else e.getSqlState() or "XX000"
+            raise SqlError(state, str(e).split("\n")[0]) from e
+
     def execute(self, text: str, *params: Any) -> Result:
         """Run one statement.  Outside a transaction it commits by itself."""
         if self.failed and not re.match(r"\s*(rollback|abort|commit|end)\b", text, re.I):
@@ -133,10 +147,10 @@ class Session:
     # Reading
 
     def _parse(self, text: str, params: list):
-        return StatementParser(text, resolve=self._resolve, params=params, setting=self._setting, call=self._call).statement()
+        return StatementParser(text, resolve=self._resolve, params=params, setting=self._setting, call=self._call, types=self._types).statement()
 
     def _parser(self, text: str) -> Parser:
-        return Parser(text, resolve=self._resolve, params=[], setting=self._setting, call=self._call)
+        return Parser(text, resolve=self._resolve, params=[], setting=self._setting, call=self._call, types=self._types)
 
     def _expression(self, text: str) -> str:
         p = self._parser(text)
@@ -144,6 +158,13 @@ class Session:
         p.done()
         return out
 
+    def _types(self, table: str) -> dict[str, str]:
+        """What a table's columns are; JSON ones by that name."""
+        table = table.lower()
+        if table not in self.views and table in self.store.state["tables"]:
+            return {c["name"]: "json" if c.get("pg_type") in ("json", "jsonb") else c["type"].lower() for c in self.store.state["tables"][table]["columns"]}
+        return {f.name: f.dataType.simpleString() for f in self._rows_of(table).schema}
+
     def _setting(self, key: str) -> str | None:
         return self.settings.get(key.lower())
 
@@ -167,10 +188,25 @@ class Session:
             return "'marlstone'"
         if f == "current_schema":
             return "'public'"
+        if f in ("current_user", "session_user", "user", "current_role"):
+            return quote(self.user)
         if f == "set_config":
-            self.settings[args[0].strip("'").lower()] = args[1].strip("'")
+            key, value = args[0].strip("'").lower(), re.sub(r"\\(.)", r"\1", args[1][1:-1])
+            if len(args) > 2 and args[2].lower() == "true" and self.open:  # until the transaction ends
+                self.local.setdefault(key, self.settings.get(key))
+            self.settings[key] = value
+            return quote(value)
         return None
 
+    def _end_local(self) -> None:
+        """Settings of the transaction go back to what they were."""
+        for key, value in self.local.items():
+            if value is None:
+                self.settings.pop(key, None)
+            else:
+                self.settings[key] = value
+        self.local = {}
+
     def _next(self, sequence: str, n: int = 1) -> int:
         s = self.store.state["sequences"].get(sequence)
         if s is None:
@@ -207,6 +243,8 @@ class Session:
                 return self.spark.read.parquet(v["path"])
             rows = self._query(v["text"])
             return rows.toDF(*v["columns"]) if v["columns"] else rows
+        if table == "spans":
+            return self.database.spans.read()
         found = pgcatalog.view(self.spark, self.store, table, self.settings, self.user)
         if found is not None:
             return found
@@ -662,6 +700,12 @@ class Session:
         for own in st.names:
             try:
                 if st.what == "TABLE":
+                    self.store.table(own)
+                    children = [t for t, m in state["tables"].items() if t != own and t not in st.names and any(f["table"] == own for f in m["fks"])]
+                    if children and not st.parts.get("cascade"):
+                        raise SqlError("2BP01", f"{children[0]!r} refers to {own!r}")
+                    for t in children:
+                        state["tables"][t]["fks"] = [f for f in state["tables"][t]["fks"] if f["table"] != own]
                     self.store.drop(own)
                 elif st.what == "BRANCH":
                     self.store.drop_branch(own)
@@ -681,8 +725,8 @@ class Session:
                     if kind is None or own not in state[kind]:
                         raise SqlError("42P01", f"{st.what.lower()} {own!r} doesn't exist")
                     del state[kind][own]
-            except SqlError:
-                if not st.exists:
+            except SqlError as e:
+                if not st.exists or e.state == "2BP01":
                     raise
         return Result(f"DROP {st.what}")
 
@@ -793,6 +837,7 @@ class Session:
     def _do_commit(self, st) -> Result:
         if self.failed:
             return self._do_rollback(st)
+        self._end_local()
         if self.open:
             self.open = False
             try:
@@ -806,6 +851,7 @@ class Session:
     def _do_rollback(self, st) -> Result:
         self.open = self.failed = False
         self.pending = []
+        self._end_local()
         self.store.refresh()
         return Result("ROLLBACK")
 
