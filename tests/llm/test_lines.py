@@ -162,6 +162,33 @@ def test_wrapped_notices(spark):
     assert license_scan.scan_wrapped(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_many_templates_in_parts(spark, monkeypatch):
+    """Hundreds of templates, by an inverted index and in parts, against comparing all with all."""
+    templates = {f"t{i}": sentence(3000 + i, 5 + i % 30, 800) for i in range(300)}
+    docs = [(i, "\n".join([sentence(4000 + i, 12, 800), templates[f"t{i}"], " ".join(templates[f"t{i + 100}"].split()[: 4 + i % 30]), sentence(i, 300, 800)])) for i in range(40)]
+    want = []
+    sets = {k: set(folded_words(t)) for k, t in templates.items()}
+    for k, text in docs:
+        for n, line in enumerate(text.split("\n")):
+            block = set(folded_words(line))
+            want += [(k, n, label, len(t & block), len(t)) for label, t in sets.items() if len(t & block) * 5 >= len(t) * 4]
+    whole = sorted(map(tuple, license_scan.scan(frame(spark, docs), templates).collect()), key=key)
+    assert whole == sorted(want, key=key)
+    wrapped = sorted(map(tuple, license_scan.scan_wrapped(frame(spark, docs), templates).collect()), key=key)
+    monkeypatch.setattr(license_scan, "MOST_WORDS", 400)
+    assert sorted(map(tuple, license_scan.scan(frame(spark, docs), templates).collect()), key=key) == whole
+    assert sorted(map(tuple, license_scan.scan_wrapped(frame(spark, docs), templates).collect()), key=key) == wrapped
+
+
+def test_full_texts_that_are_wrapped(spark):
+    import textwrap
+
+    full = [k for k in license_scan.TEMPLATES if k.endswith("-full")]
+    docs = [(i, sentence(i, 40) + "\n\n" + textwrap.fill(license_scan.TEMPLATES[k], 70) + "\n\n" + sentence(50 + i, 40)) for i, k in enumerate(full)]
+    got = {(r.doc_id, r.license) for r in license_scan.scan_wrapped(frame(spark, docs)).collect()}
+    assert {(i, k) for i, k in enumerate(full)} <= got and len(full) >= 3
+
+
 def test_too_many_templates_are_refused(spark, monkeypatch):
     monkeypatch.setattr(license_scan, "MOST_WORDS", 3)
     with pytest.raises(ValueError):
