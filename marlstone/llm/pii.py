@@ -65,7 +65,7 @@ _PATTERNS: dict[str, re.Pattern] = {
 }
 _POSITIVE: dict[str, re.Pattern] = {
     "email": re.compile(rb"e-?mail|contact|write|address|mailto", re.I), "phone": re.compile(rb"phone|call|tel|mobile|fax|dial|reach", re.I), "card": re.compile(rb"card|visa|master|amex|credit|payment|charge", re.I), "ip": re.compile(rb"\bip\b|host|server|address|login|from|client", re.I),
-    "ssn": re.compile(rb"ssn|social|security", re.I), "iban": re.compile(rb"iban|bank|account|transfer", re.I), "secret": re.compile(rb"token|key|secret|password|pwd|credential|auth", re.I), "person": re.compile(rb"name|mr\b|mrs\b|dr\b|dear|sincerely|contact|called|i am |hello |hi |regards|appelle|nomme|cher|llam|nombre|estimad|hei\xc3\x9f|lieb", re.I),
+    "ssn": re.compile(rb"ssn|social|security", re.I), "iban": re.compile(rb"iban|bank|account|transfer", re.I), "secret": re.compile(rb"token|key|secret|password|pwd|credential|auth", re.I), "person": re.compile(rb"\b(?:name[ds]?|mr|mrs|dr|dear|sincerely|contact|called|i am|hello|hi|regards|appelle|nomme|cher|ch\xc3\xa8re|llam[oa]|nombre|estimad[oa]|hei\xc3\x9f[et]|lieber?)(?![\w\x80-\xff])", re.I),
 }
 _NEGATIVE: dict[str, re.Pattern] = {
     "email": re.compile(rb"example of|format", re.I), "phone": re.compile(rb"isbn|order|serial|page|invoice", re.I), "card": re.compile(rb"isbn|tracking|serial|order|timestamp", re.I), "ip": re.compile(rb"version|release|section|\bv$|license", re.I),
@@ -73,6 +73,8 @@ _NEGATIVE: dict[str, re.Pattern] = {
 }
 _KEYED = re.compile(rb"(?:token|api[_-]?key|secret|passw(?:or)?d|pwd|access[_-]?key)\s{0,3}[=:]", re.I)
 _KEY_PREFIX = re.compile(rb"(?:AKIA|ghp_|gho_|sk-|sk_live_|xox[abp]-)", re.I)
+#: Keys of known length and alphabet.
+_KEY_FORM = re.compile(rb"AKIA[0-9A-Z]{16}|gh[po]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9-]{12,}")
 #: Dates, addresses and social security numbers aren't telephone numbers; these are, without a country code.
 _NO_PHONE = re.compile(rb"(?:19|20)\d\d[-./ ]\d\d[-./ ]\d\d(?:\D.*)?|\d\d[-./]\d\d[-./](?:19|20)\d\d|\d{1,3}(?:\.\d{1,3}){3}|\d{3}-\d{2}-\d{4}|(?:19|20)\d\d\D(?:19|20)\d\d")
 _NATIONAL = re.compile(rb"0[1-9](?:\D{0,2}\d\d){4}|[2-9]\d\d[ .-]?[2-9]\d\d[ .-]\d{4}|[67]\d\d(?:\D{1,2}\d\d){3}")
@@ -138,8 +140,8 @@ def judge(kind: str, span: bytes, before: bytes) -> tuple[tuple[int, int, int, i
         shape = 1 if len(digits) > 8 else -1
     elif kind == "secret":
         body = re.split(rb"[=:]\s*", span)[-1].strip(b"\"'")
-        pattern = 1 if _KEYED.match(span) or _KEY_PREFIX.match(span) else 0
-        gazetteer = 1 if _KEY_PREFIX.match(body) or pattern else 0
+        pattern = 1 if _KEYED.match(span) or _KEY_FORM.fullmatch(span) else 0
+        gazetteer = 1 if _KEY_PREFIX.match(body) else 0
         mixed = bool(digits) and any(chr(c).isalpha() for c in body)
         shape = 1 if mixed and _entropy(body) > 2.8 else -1
     else:
@@ -148,8 +150,7 @@ def judge(kind: str, span: bytes, before: bytes) -> tuple[tuple[int, int, int, i
         known, odd = own[0] in GIVEN, any(w in NO_NAMES for w in own) or len(set(own)) < len(own)
         pattern = 1 if titled else 0
         gazetteer = 1 if known and not odd else -1 if odd else 0
-        linked = any(w.endswith(b".") or w[:1].islower() for w in own)
-        shape = -1 if odd or not titled and len(own) < 2 else 1 if titled or known or linked else 0
+        shape = -1 if odd or not titled and len(own) < 2 else 1 if titled or known else 0
     good, bad = _POSITIVE[kind].search(before), _NEGATIVE[kind].search(before)
     context = 1 if good and not bad else -1 if bad and not good else 0
     bits = (pattern > 0) | (gazetteer > 0) << 1 | (shape > 0) << 2 | (good is not None) << 3 | (bad is not None) << 4 | separated << 5 | (len(digits) * 2 > len(span)) << 6 | (len(span) > 12) << 7 | (pattern < 0) << 8 | (gazetteer < 0) << 9
@@ -248,40 +249,68 @@ def find_candidates(docs: DataFrame) -> DataFrame:
     return common.id_and_text(docs).mapInArrow(run, _SPANS)
 
 
-#: Real spans that fail a check of digits or ranges, at most.
+#: Real spans that fail a check of digits or ranges: a misprint, known beforehand and not estimated.
 FAILED_CHECK = 0.001
-
-
-def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100, checks: tuple[int, ...] = (0,)) -> tuple[np.ndarray, float, np.ndarray]:
+#: Others that pass one: of random digits, a tenth has the right check digit.
+CHANCE = 0.1
+#: Prior P(vote is -1, 0, 1 | a span isn't, is real), of a labeler that checks digits or ranges and of the others.
+CHECKED = ((0.70, 0.26, 0.04), (FAILED_CHECK, 0.399, 0.601))
+PLAIN = ((0.20, 0.75, 0.05), (0.05, 0.55, 0.40))
+#: Votes that a prior is worth.
+WORTH = 10.0
+
+
+def _monotone(weight: np.ndarray) -> np.ndarray:
+    """P(outcome | class) from weights (2, 3); outcomes that speak for the wrong class are pooled over both."""
+    p = weight / weight.sum(axis=1, keepdims=True)
+    total = weight.sum(axis=1)
+    pooled = [v for v in (0, 1) if p[1, v] > p[0, v]]
+    for v in pooled:
+        p[:, v] = (p[:, v] * total).sum() / total.sum()
+    rest = [v for v in range(3) if v not in pooled]
+    if pooled:
+        p[:, rest] *= ((1 - p[:, pooled].sum(axis=1)) / p[:, rest].sum(axis=1))[:, None]
+    return p
+
+
+def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 200, checks: tuple[int, ...] = (0,)) -> tuple[np.ndarray, float, np.ndarray]:
     """EM for one kind: (patterns, labelers) of votes and their counts to each labeler's P(vote | class), the share of class 1 and each pattern's posterior.
 
-    Priors worth 10 votes say that a labeler is right four times out of five (the
-    first, which checks digits and ranges, nearly always), so patterns that are
-    rare or all alike don't carry it away.  A vote against by one of ``checks``
-    is near proof.
+    A labeler has three outcomes, of which to abstain is one.  What is given:
+    Dirichlet priors worth ``WORTH`` votes; that labelers are monotone, so neither a
+    vote against nor silence is likelier for a real span than for another; and, of
+    ``checks``, the labelers of digits and ranges, how often a real span fails
+    (``FAILED_CHECK``) and at most how often another one passes (``CHANCE``), which is
+    arithmetic.  All else is estimated.  The prior of the share of real spans counts
+    for a tenth of the spans, so it is the same at every size.
     """
     share = 0.5
-    table = np.empty((2, votes.shape[1], 3))
-    table[0], table[1] = (0.4, 0.5, 0.1), (0.1, 0.5, 0.4)
-    table[0, 0], table[1, 0] = (0.7, 0.26, 0.04), (0.01, 0.39, 0.6)
-    prior = 10 * table
+    start = np.array([[CHECKED if j in checks else PLAIN for j in range(votes.shape[1])]])[0].transpose(1, 0, 2)
+    table, prior = start.copy(), WORTH * start
     post = np.zeros(len(votes))
     for _ in range(rounds):
-        # An abstention says nothing.
-        cast = np.log(table / (table[:, :, :1] + table[:, :, 2:]))
-        cast[:, :, 1] = 0
-        log = [np.log(p) + sum(cast[c, j, votes[:, j] + 1] for j in range(votes.shape[1])) for c, p in ((0, 1 - share), (1, share))]
-        post = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
-        share = min(0.95, max(0.05, float((counts @ post + 2) / (counts.sum() + 4))))
-        for c, w in ((0, counts * (1 - post)), (1, counts * post)):
+        log = [np.log(p) + sum(np.log(table[c, j, votes[:, j] + 1]) for j in range(votes.shape[1])) for c, p in ((0, 1 - share), (1, share))]
+        now = 1 / (1 + np.exp(np.clip(log[0] - log[1], -50, 50)))
+        share = float((counts @ now + (WORTH + 0.1 * counts.sum()) / 2) / (1.1 * counts.sum() + WORTH))
+        for c, w in ((0, counts * (1 - now)), (1, counts * now)):
             for j in range(votes.shape[1]):
                 table[c, j] = prior[c, j] + np.bincount(votes[:, j] + 1, w, minlength=3)
-                table[c, j] /= table[c, j].sum()
-        for j in checks:  # nearly all candidates of a strict kind are real, which mustn't outvote a failed check
-            table[1, j, 0] = min(table[1, j, 0], FAILED_CHECK)
+        table = np.stack([_monotone(table[:, j]) for j in range(votes.shape[1])], axis=1)
+        for j in checks:
+            table[1, j, 1:] *= (1 - FAILED_CHECK) / table[1, j, 1:].sum()
+            table[1, j, 0] = FAILED_CHECK
+            if table[0, j, 2] > CHANCE:
+                table[0, j, :2] *= (1 - CHANCE) / table[0, j, :2].sum()
+                table[0, j, 2] = CHANCE
+        done, post = np.abs(now - post).max(initial=0) < 1e-9, now
+        if done:
+            break
     return table, share, post
 
 
+RIDGE = 0.1
+
+
 def train(kind: np.ndarray, votes: np.ndarray, bits: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Weights (kinds, 1 + features) of the span classifier, from counts of (kind, votes, features)."""
     codes = (votes[:, None] // 3 ** np.arange(len(LABELERS))) % 3 - 1
@@ -292,14 +321,12 @@ def train(kind: np.ndarray, votes: np.ndarray, bits: np.ndarray, counts: np.ndar
             continue
         c = counts[own].astype(float)
         _, _, post = estimate(codes[own], c)
-        post = np.where((codes[own] > 0).any(axis=1), post, np.minimum(post, 0.1))  # nobody votes for it
         x = np.concatenate([np.ones((own.sum(), 1)), (bits[own][:, None] >> np.arange(FEATURE_BITS)) & 1], axis=1).astype(float)
         w = weights[k]
-        scale = c / c.sum() * min(c.sum(), 1000)
-        for _ in range(50):  # Newton steps, with a ridge
+        for _ in range(100):  # Newton steps, with a ridge
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            gradient = x.T @ (scale * (post - p)) - 0.1 * w
-            hessian = (x * (scale * p * (1 - p) + 1e-9)[:, None]).T @ x + 0.1 * np.eye(len(w))
+            gradient = x.T @ (c * (post - p)) - RIDGE * w
+            hessian = (x * (c * p * (1 - p) + 1e-9)[:, None]).T @ x + RIDGE * np.eye(len(w))
             step = np.linalg.solve(hessian, gradient)
             w += np.clip(step, -4, 4)
             if np.abs(step).max() < 1e-9:
@@ -311,7 +338,7 @@ def personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, start, stop, kind, score): spans that are personal data or secrets, in characters, the end excluded.
 
     Of spans that overlap, the likeliest stays (then the longest, then the
-    first).  Null and empty texts have none; a null doc_id stays null; repeated
+    first).  Null and empty texts have none; very long ones are searched whole; a null doc_id stays null; repeated
     rows give repeated spans; other columns are ignored; an empty table gives
     none.
     """
