@@ -58,4 +58,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import queries_changes, queries_functions, queries_relational, queries_search  # noqa: E402, F401
+from . import queries_behaviour, queries_changes, queries_functions, queries_relational, queries_search  # noqa: E402, F401

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +23,9 @@ from ..streaming.spans import SpanTable
 from .parser import Parser, Recursive
 from .statements import StatementParser
 
+#: SQLSTATEs of what Spark finds wrong in a statement, where its own differ.
+ANALYSIS = {"NUM_COLUMNS_MISMATCH": "42601", "UNRESOLVED_COLUMN.WITH_SUGGESTION": "42703", "UNRESOLVED_COLUMN.WITHOUT_SUGGESTION": "42703", "TABLE_OR_VIEW_NOT_FOUND": "42P01", "UNRESOLVED_ROUTINE": "42883"}
+
 __all__ = ["Database", "Result", "Session"]
 
 
@@ -96,7 +99,10 @@ class Session:
             self.store.refresh()
         before = self.store.version
         try:
-            out = self._run(text, list(params))
+            try:
+                out = self._run(text, list(params))
+            except AnalysisException as e:
+                raise SqlError(ANALYSIS.get(e.getCondition() or "", e.getSqlState() or "42601"), str(e).split("\n")[0]) from e
         except Exception:
             if self.open:
                 self.failed = True
@@ -180,7 +186,8 @@ class Session:
             return str(next(reversed(self.currval.values()), 1))
         if f == "setval":
             own = args[0].strip("'")
-            self.store.state["sequences"].setdefault(own, {"next": 1, "step": 1})["next"] = int(args[1]) + 1
+            held = self.store.state["sequences"].setdefault(own, {"next": 1, "step": 1})
+            held["next"] = int(args[1]) + held["step"]
             self.currval[own] = int(args[1])
             self._save_if_alone()
             return args[1]
