@@ -22,18 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset, in local mode."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="marlstone-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage and survives lost executors."""
+    """df written to the shared folder and read back: cuts lineage and survives lost executors.
+
+    What an application stored is deleted when it ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/marlstone/{name}-{uuid.uuid4().hex}"
+    own = f"{shared_folder(spark)}/marlstone/{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(own)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    path = f"{own}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

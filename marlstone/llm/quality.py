@@ -116,9 +116,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> boosti
 def score(docs: DataFrame, model: boosting.Trees, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, keep), a row for each row of docs: the probability of good quality, and whether it reaches the threshold.
 
-    Null and empty texts are scored as empty texts; a null doc_id stays null;
-    repeated rows are scored alike; other columns are ignored; an empty table
-    gives none.
+    Null and empty texts are scored as empty texts, very long ones by all they
+    hold; a null doc_id stays null; repeated rows are scored alike; other columns
+    are ignored; an empty table gives none.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -132,7 +132,12 @@ def score(docs: DataFrame, model: boosting.Trees, threshold: float = THRESHOLD)
 
 
 def accepted(docs: DataFrame, model: boosting.Trees, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least the threshold, all columns as they are."""
+    """The rows of docs that score at least the threshold, all columns as they are.
+
+    Cases as in `score`: null and empty texts are judged as empty texts, ids don't
+    matter, repeated rows stay or go together, a score that ties with the threshold
+    stays, an empty table stays empty.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

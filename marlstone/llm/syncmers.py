@@ -56,8 +56,9 @@ def fingerprints(docs: DataFrame, k: int = K, inner: int = S, whole: bool = Fals
     k-mers' hashes there.  A tie of two inner minima counts if either lies at an
     edge.  Texts under k words (the empty one too) have empty lists, but with
     ``whole``, a text of words without any syncmer has one fingerprint of them all
-    at position 0; a null text has nulls; a null doc_id stays null; repeated rows give repeated rows; other
-    columns are ignored; an empty table gives none.
+    at position 0; a very long text has all its fingerprints; a null text has nulls;
+    a null doc_id stays null; repeated rows give repeated rows; other columns are
+    ignored; an empty table gives none.
     """
     if not 0 < inner <= k:
         raise ValueError("inner must be from 1 to k")

@@ -18,6 +18,8 @@ from . import common, vocabulary
 
 #: Pieces whose merged length a worker remembers before it starts afresh; bounds memory, never the result.
 REMEMBERED = 300_000
+#: Longest piece, in characters, that is remembered; longer ones hardly recur.
+LONGEST = 64
 _WHOLE = 1 << 40
 
 
@@ -29,7 +31,9 @@ class _Lengths(dict):
         self.merge = vocabulary.encoding(path)._core_bpe.encode_single_piece
 
     def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self.merge(piece.encode("utf-8")))
+        n = len(self.merge(piece.encode("utf-8")))
+        if len(piece) <= LONGEST:
+            self[piece] = n
         return n
 
 
@@ -41,8 +45,8 @@ def count_tokens(docs: DataFrame, path: str = vocabulary.RANKS_PATH) -> DataFram
 
     ``n_whole`` pre-tokens were counted by the shortcut, ``n_tokens`` is the
     length of the whole text's encoding.  A null text gives nulls, an empty one
-    zeros; a null doc_id stays null; repeated rows are counted each; other
-    columns are ignored; an empty table gives none.
+    zeros, a very long one is counted whole; a null doc_id stays null; repeated
+    rows are counted each; other columns are ignored; an empty table gives none.
     """
     whole = docs.sparkSession.sparkContext.broadcast(sorted(vocabulary.prove_whole(path)))  # at most the vocabulary
 
