@@ -369,7 +369,8 @@ class Session:
             else:
                 x = self._expression(c["default"]) if c["default"] else "NULL"
             select.append(F.expr(f"CAST({x} AS {c['type']}) AS {name(own)}"))
-        out = self._regenerate(table, rows.select(*select, F.monotonically_increasing_id().alias("__row")))
+        row = F.col("__number") if generated else F.monotonically_increasing_id()
+        out = self._regenerate(table, rows.select(*select, row.cast("bigint").alias("__row")))
         return out.select(*(name(c["name"]) for c in self.store.table(table)["columns"]), "__row")
 
     def _numbered(self, rows: DataFrame) -> DataFrame:
