@@ -15,12 +15,17 @@ STOP_WORDS = frozenset("a an and are as at be but by for if in into is it no not
 
 def terms(text: Column, stop: bool = True) -> Column:
     """Lower-case runs of letters and digits, without English stop words."""
+    return _terms_of(F.lower(text), stop)
+
+
+def _terms_of(low: Column, stop: bool) -> Column:
     skip = ["", *(sorted(STOP_WORDS) if stop else [])]
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: ~t.isin(skip))
+    return F.filter(F.split(low, r"[^\p{L}\p{N}]+"), lambda t: ~t.isin(skip))
 
 
 def _frequency(term: str) -> Column:
-    return F.size(F.filter("ts", lambda t: t == term))
+    """How often a document has a term; most have it nowhere, which takes no look at their term lists."""
+    return F.when(F.col("low").contains(term), F.size(F.filter("ts", lambda t: t == term))).otherwise(0)
 
 
 class TextIndex:
@@ -28,7 +33,8 @@ class TextIndex:
 
     def __init__(self, docs: DataFrame, key: str, text: str, stop: bool = True):
         self.key, self.stop = key, stop
-        self.tokens = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), terms(F.col(text), stop).alias("ts"))
+        low = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.lower(text).alias("low"))
+        self.tokens = low.select("id", "low", _terms_of(F.col("low"), stop).alias("ts"))
         self.path, self.gone = None, None
 
     def save(self, path: str) -> TextIndex:

@@ -389,13 +389,12 @@ class Session:
         meta = self.store.table(table)
         path = self.store.write(self._complete(table, columns, rows))  # readers of the table don't see __row
         new = self.store.load([path], T.StructType([*self.store.schema(table), T.StructField("__row", T.LongType())]))
-        count = new.count()
         for c in meta["columns"]:
             if c["identity"]:
                 s, top = self.store.state["sequences"][f"{table}_{c['name']}_seq"], new.agg(F.max(c["name"])).first()[0]
                 if top is not None and top >= s["next"]:
                     s["next"] = top + s["step"]
-        self._check_rows(table, new, "INSERT")
+        count = self._check_rows(table, new, "INSERT")
         if conflict is not None:
             return self._upsert(table, new, conflict, returning)
         self._check_unique(table, new, self.store.read(table, self.branch))
@@ -430,11 +429,10 @@ class Session:
         updated = both.select("__id", "__row", *(F.expr(f"CAST({qualified[c['name']]} AS {c['type']})").alias(c["name"]) if c["name"] in sets else F.col(f"{name(table)}.{name(c['name'])}").alias(c["name"]) for c in meta["columns"]))
         updated = stored(self._regenerate(table, updated), "upsert")
         touched = stored(updated.select(*map(name, names), "__row").unionByName(fresh), "upsert")
-        self._check_rows(table, touched, "UPDATE")
+        n = self._check_rows(table, touched, "UPDATE")
         self._check_unique(table, touched, current.join(updated, "__id", "left_anti"))
         self.store.change(table, self.branch, updated, self.store.write(touched.drop("__row")))
         self._check_references(table, touched)
-        n = touched.count()
         return Result(f"INSERT 0 {n}", self._returning(table, touched, "__row", returning), n)
 
     def _regenerate(self, table: str, rows: DataFrame) -> DataFrame:
@@ -478,12 +476,11 @@ class Session:
         new = hit.select("__id", *(F.col(name(("__new_" if c in sets else "__old_") + c)).alias(c) for c in names))
         path = self.store.write(self._regenerate(st.table, new), "rows")  # readers of the table don't see __id
         new = self.spark.read.parquet(path)
-        count = new.count()
-        self._check_rows(st.table, new, "UPDATE")
+        count = self._check_rows(st.table, new, "UPDATE")
         changed = set(sets) | {c["name"] for c in meta["columns"] if c["generated"]}
         if count:
             self._check_unique(st.table, new, self.store.read(st.table, self.branch, ids=True).join(hit, "__id", "left_anti"), changed=changed)
-            self.store.change(st.table, self.branch, hit, path)
+            self.store.change(st.table, self.branch, hit, path, same_keys=not changed & set(meta["pk"]))
             if any(changed & set(fk["columns"]) for fk in meta["fks"]):
                 self._check_references(st.table, new)
             moved = self._old(st.table, hit).join(new.select("__id", *(F.col(name(c)).alias("__to_" + c) for c in names)), "__id")
@@ -505,8 +502,8 @@ class Session:
 
     # Constraints
 
-    def _check_rows(self, table: str, rows: DataFrame, command: str) -> None:
-        """NOT NULL, CHECK, enum labels and WITH CHECK of new rows, in one pass."""
+    def _check_rows(self, table: str, rows: DataFrame, command: str) -> int:
+        """NOT NULL, CHECK, enum labels and WITH CHECK of new rows, and how many there are, in one pass."""
         meta = self.store.table(table)
         tests = [("23502", f"column {c['name']!r} mustn't be null", f"{name(c['name'])} IS NULL") for c in meta["columns"] if c["not_null"] or c["name"] in meta["pk"]]
         tests += [("23514", f"check {label!r} of {table!r} is violated", f"NOT ({self._expression(x)})") for label, x in meta["checks"]]
@@ -517,12 +514,11 @@ class Session:
         guard = self._guard(table, command, check=True)
         if guard is not None:
             tests.append(("42501", f"new row violates the policies of {table!r}", f"NOT coalesce({guard}, false)"))
-        if not tests:
-            return
-        found = rows.agg(*(F.max(F.expr(f"CASE WHEN {x} THEN 1 ELSE 0 END")).alias(f"t{i}") for i, (_, _, x) in enumerate(tests))).first()
+        count, *found = rows.agg(F.count("*"), *(F.max(F.expr(f"CASE WHEN {x} THEN 1 ELSE 0 END")).alias(f"t{i}") for i, (_, _, x) in enumerate(tests))).first()
         for (state, message, _), bad in zip(tests, found):
             if bad:
                 raise SqlError(state, message)
+        return count
 
     def _check_unique(self, table: str, new: DataFrame, rest: DataFrame, skip: list[str] | None = None, changed: set[str] | None = None) -> None:
         """PRIMARY KEY, UNIQUE and unique indexes: among the new rows, and against the rest; nulls are distinct.
@@ -542,7 +538,7 @@ class Session:
             pick = lambda rows: (rows.filter(self._expression(where)) if where else rows).select(columns).dropna()  # noqa: B023, E731
             mine = pick(new)
             k = mine.columns
-            if not mine.groupBy(k).count().filter("count > 1").isEmpty() or not pick(rest).join(mine, k, "left_semi").isEmpty():
+            if not mine.unionByName(pick(rest).join(mine, k, "left_semi")).groupBy(k).count().filter("count > 1").isEmpty():
                 raise SqlError("23505", f"duplicate key ({', '.join(key)}) in {table!r}")
 
     def _check_references(self, table: str, new: DataFrame) -> None:

@@ -137,11 +137,11 @@ class Store:
             own["gone"] = [self.write(self.load(own["gone"], _only(self.schema(table), key)).join(back, key, "left_anti"), "gone")]
         own["files"].append(path)
 
-    def change(self, table: str, branch: str, ids: DataFrame, path: str | None = None) -> None:
+    def change(self, table: str, branch: str, ids: DataFrame, path: str | None = None, same_keys: bool = False) -> None:
         """Take the rows with some ids (``__id``, of `read`) out, and add those of a folder.
 
         On the main branch, that writes the ids only; on another one, the changes
-        that it has.
+        that it has, and, unless the new rows have the ``same_keys``, the keys.
         """
         own, key, schema = self._own(table, branch), self.key(table), self.schema(table)
         if own.get("full"):
@@ -149,10 +149,17 @@ class Store:
             own["files"] += [path] if path else []
             return
         hit = ids.select("__id.*")
-        added = self.load([path], schema) if path else self.spark.createDataFrame([], schema)
-        delta = self.load(own["files"], schema).join(hit, key, "left_anti").select(*map(name, schema.names)).unionByName(added)
-        gone = self.load(own["gone"], _only(schema, key)).unionByName(hit.select(*map(name, key))).distinct().join(added.select(*map(name, key)), key, "left_anti")
-        own["files"], own["gone"] = [self.write(delta, "delta")], [self.write(gone, "gone")]
+        if own["files"]:
+            rest = self.load(own["files"], schema).join(hit, key, "left_anti").select(*map(name, schema.names))
+            own["files"] = [self.write(rest.unionByName(self.load([path], schema)) if path else rest, "delta")]
+        else:
+            own["files"] = [path] if path else []
+        if same_keys:  # what is seen isn't gone, and stays so
+            return
+        gone = self.load(own["gone"], _only(schema, key)).unionByName(hit.select(*map(name, key))) if own["gone"] else hit.select(*map(name, key))
+        if path:
+            gone = gone.join(self.load([path], _only(schema, key)), key, "left_anti")
+        own["gone"] = [self.write(gone.distinct(), "gone")]
 
     def replace(self, table: str, branch: str, rows: DataFrame) -> None:
         """All rows of the table on the branch become ``rows``."""
