@@ -107,7 +107,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> boosti
     schema = "doc_id bigint, quality int"
     chosen = docs.sparkSession.createDataFrame(sample, schema)
     own = common.id_and_text(docs).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")  # at most `most` ids
-    rows = features(own).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "features").collect()
+    found = features(own).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "features")
+    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "features").limit(most).collect()  # of documents that are repeated, too, no more
     rows.sort(key=lambda r: (r[0], r[1], r[2]))
     x = np.array([r[2] for r in rows], dtype=np.float32).reshape(len(rows), len(FEATURES))
     return boosting.fit(x, np.array([1.0 if r[1] > 0 else 0.0 for r in rows]))
