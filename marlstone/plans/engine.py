@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -60,6 +61,7 @@ class Session:
         self.settings: dict[str, str] = {"timezone": "UTC", "search_path": "public", "server_version": "16.0", "client_encoding": "UTF8", "standard_conforming_strings": "on", "datestyle": "ISO, MDY", "transaction_isolation": "repeatable read"}
         self.store = Store(self.spark, database.root)
         self.views: dict[str, DataFrame] = {}
+        self.made_views: list[str] = []
         self.open = self.failed = False
         self.deferred: set[str] = set()
         self.pending: list[tuple[str, dict]] = []
@@ -86,6 +88,8 @@ class Session:
         """The collected rows; what fails while they are made is an SqlError with its SQLSTATE, too."""
         try:
             return self.sql(text, *params).collect()
+        except Py4JJavaError as e:
+            raise SqlError("22023" if "MALFORMED_RECORD" in str(e) else "XX000", str(e).split("\n")[1]) from e
         except PySparkException as e:
             own = re.search(r"\b([0-9A-Z]{5}): ", str(e)) if "raise_error" in str(e) or "USER_RAISED" in str(e) else None
             state = own[1] if own else "22023" if "JSONDecodeError" in str(e) else e.getSqlState() or "XX000"
@@ -109,6 +113,8 @@ class Session:
             else:
                 self.store.refresh()
             raise
+        finally:
+            self._drop_views()
         changed = out.tag.split(" ")[0] not in ("SELECT", "EXPLAIN", "SHOW", "SET", "FETCH", "COPY", "DECLARE", "CLOSE", "BEGIN", "COMMIT", "ROLLBACK", "LISTEN", "NOTIFY", "PREPARE")
         if changed and not self.open and self.store.version == before:
             self._check_pending()
@@ -235,8 +241,14 @@ class Session:
     def _view(self, rows: DataFrame) -> str:
         own = "v_" + uuid.uuid4().hex
         rows.createOrReplaceTempView(own)
+        self.made_views.append(own)
         return name(own)
 
+    def _drop_views(self) -> None:
+        """A statement's rows are analysed by now and don't need its views any more."""
+        while self.made_views:
+            self.spark.catalog.dropTempView(self.made_views.pop())
+
     def _rows_of(self, table: str) -> DataFrame:
         table = table.lower()
         if table in self.views:

@@ -22,10 +22,17 @@ def folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read back, so that its lineage ends there."""
-    path = f"{folder(df.sparkSession)}/marlstone/{what}-{uuid.uuid4().hex}"
+    """df written to the shared folder and read back, so that its lineage ends there.
+
+    What an application stored is deleted when it ends.
+    """
+    spark = df.sparkSession
+    own = f"{folder(spark)}/marlstone/{spark.sparkContext.applicationId}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(own)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    path = f"{own}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _one_at_a_time = threading.Lock()
