@@ -32,7 +32,7 @@ dialect("fn_typeof", f"SELECT k, pg_typeof(k) AS a, pg_typeof(seg) AS b, pg_type
         f"SELECT k, 'bigint' AS a, 'text' AS b, 'double precision' AS c, 'integer[]' AS d, 'numeric' AS e, 'boolean' AS f, 'timestamp without time zone' AS g, 'date' AS h FROM {_C} c")
 dialect("fn_regexp_groups", f"SELECT k, (regexp_match(name, '^(.)[a-z]*#0*([0-9]+)$'))[1] AS one, (regexp_match(name, '^(.)[a-z]*#0*([0-9]+)$'))[2] AS two, array_length(regexp_match(name, '(o)(m)(e)'), 1) AS n, (regexp_matches(seg, '[AEIOU]'))[1] AS whole, regexp_match(seg, 'xyz') IS NULL AS none, substring(seg FROM '[AEIOU](.)') AS part, name ~* 'CUSTOMER' AS ci, seg !~ 'A' AS nota FROM {_C} c",
         f"SELECT k, regexp_extract(name, '^(.)[a-z]*#0*([0-9]+)$', 1) AS one, regexp_extract(name, '^(.)[a-z]*#0*([0-9]+)$', 2) AS two, 3 AS n, CASE WHEN regexp_matches(seg, '[AEIOU]') THEN regexp_extract(seg, '[AEIOU]') END AS whole, true AS none, CASE WHEN regexp_matches(seg, '[AEIOU](.)') THEN regexp_extract(seg, '[AEIOU](.)', 1) END AS part, true AS ci, NOT regexp_matches(seg, 'A') AS nota FROM {_C} c")
-dialect("fn_int_division", f"SELECT k, k / 7 AS a, (nat - 20) / 3 AS b, k / nullif(nat, 0) AS c, c.k / 2.0 AS d, bal / 2 AS e FROM {_C} c", f"SELECT k, k // 7 AS a, CAST(trunc((nat - 20) / 3) AS BIGINT) AS b, k // nullif(nat, 0) AS c, CAST(k / 2.0 AS DECIMAL(38,6)) AS d, bal / 2 AS e FROM {_C} c".replace("CAST(k / 2.0 AS DECIMAL(38,6))", "k / 2.0"))
+dialect("fn_int_division", f"SELECT k, k / 7 AS a, (nat - 20) / 3 AS b, k / nullif(nat, 0) AS c, c.k / 2.0::float8 AS d, bal / 2 AS e FROM {_C} c", f"SELECT k, k // 7 AS a, CAST(trunc((nat - 20) / 3) AS BIGINT) AS b, k // nullif(nat, 0) AS c, k / 2.0::DOUBLE AS d, bal / 2 AS e FROM {_C} c")
 dialect("fn_array_literal", f"SELECT k, ('{{5,NULL,7}}'::int[])[3] AS a, nat = ANY('{{1,2,3}}'::int[]) AS b, array_length('{{\"x, y\",z}}'::text[], 1) AS c, ('{{\"x, y\",z}}'::text[])[1] AS d, array_to_string(ARRAY[nat] || 9, '-') AS e, array_to_string(8 || ARRAY[nat, 1], '-') AS f, array_length('{{}}'::int[], 1) AS g, (ARRAY[nat, 2, 3])[2:3] = ARRAY[2, 3] AS h FROM {_C} c",
         f"SELECT k, 7 AS a, nat IN (1, 2, 3) AS b, 2 AS c, 'x, y' AS d, concat_ws('-', nat, 9) AS e, concat_ws('-', 8, nat, 1) AS f, CAST(NULL AS INTEGER) AS g, true AS h FROM {_C} c")
 dialect("fn_jsonb_minus", "SELECT event_id, (props::jsonb - 'k')::text AS none, (jsonb_set(props::jsonb, '{z}', '1') - ARRAY['k', 'q'])::text AS z, (jsonb_set(props::jsonb, '{z}', '1') - '{k,z}'::text[])::text AS gone, ('[1,2,3]'::jsonb - 1)::text AS two, (jsonb_set(nullif(props, '{\"k\": 3}')::jsonb, '{a,b}', '5') -> 'a' ->> 'b') AS deep FROM events",
@@ -47,8 +47,8 @@ dialect("fn_time_zones", f"SELECT k, (d AT TIME ZONE 'America/New_York') AT TIME
         f"SELECT k, (d AT TIME ZONE 'America/New_York') AT TIME ZONE 'UTC' AS a, d + INTERVAL 9 HOUR AS b, (d AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Berlin' AS c, TIMESTAMP '2024-01-01 05:00:00' AS e FROM {_O} o")
 dialect("fn_to_char", f"SELECT k, to_char(d, 'YYYY/MM/DD HH24:MI:SS') AS a, to_char(d, 'DD Mon YY') AS b, to_date(to_char(d, 'DD.MM.YYYY'), 'DD.MM.YYYY') AS c FROM {_O} o", f"SELECT k, strftime(d, '%Y/%m/%d %H:%M:%S') AS a, strftime(d, '%d %b %y') AS b, d::date AS c FROM {_O} o")
 dialect("fn_now", "SELECT r_regionkey AS k, now() = transaction_timestamp() AS a, clock_timestamp() >= statement_timestamp() AS b, current_date = now()::date AS c, length(current_time) > 7 AS d, localtimestamp <= now()::timestamp + INTERVAL '1 day' AS e, length(timeofday()) > 20 AS f, current_timestamp > TIMESTAMP '2020-01-01 00:00:00' AS g FROM region", "SELECT r_regionkey AS k, true AS a, true AS b, true AS c, true AS d, true AS e, true AS f, true AS g FROM region")
-dialect("fn_casts", f"SELECT k, bal::int AS a, (nat / 2.0)::int AS b, numeric '1.5' + 1 AS c, int '7' AS d, bool 't' AS e, (k::text || '.5')::float8 AS f, initcap(lower(seg) || '-and more') AS g, quote_ident(name) AS h, quote_ident('plain') AS i FROM {_C} c",
-        f"SELECT k, CAST(round_even(bal, 0) AS INTEGER) AS a, CAST(round(nat / 2.0, 0) AS INTEGER) AS b, CAST(2.5 AS DECIMAL(38,10)) AS c, 7 AS d, true AS e, k + 0.5::DOUBLE AS f, seg[1] || lower(seg[2:]) || '-And More' AS g, '\"' || name || '\"' AS h, 'plain' AS i FROM {_C} c")
+dialect("fn_casts", f"SELECT k, bal::int AS a, (nat / 2.0)::int AS b, (numeric '1.5' + 1)::numeric(20,4) AS c, int '7' AS d, bool 't' AS e, (k::text || '.5')::float8 AS f, initcap(lower(seg) || '-and more') AS g, quote_ident(name) AS h, quote_ident('plain') AS i FROM {_C} c",
+        f"SELECT k, CAST(round_even(bal, 0) AS INTEGER) AS a, CAST(round(nat / 2.0, 0) AS INTEGER) AS b, CAST(2.5 AS DECIMAL(20,4)) AS c, 7 AS d, true AS e, k + 0.5::DOUBLE AS f, seg[1] || lower(seg[2:]) || '-And More' AS g, '\"' || name || '\"' AS h, 'plain' AS i FROM {_C} c")
 dialect("fn_strings_of_columns", f"SELECT k, left(seg, -2) AS a, right(seg, 3) AS b, overlay(name PLACING 'X' FROM 2 FOR 3) AS c, octet_length(seg) AS d, bit_length(name) AS e, quote_literal(seg) AS f, quote_nullable(seg) AS g, format('%s=%s', k, seg) AS h, position('a' IN lower(seg)) AS i, btrim(seg, 'AE') AS j, chr(64 + nat) AS l, array_to_string(string_to_array(seg, NULL), '.') AS m FROM {_C} c",
         f"SELECT k, left(seg, -2) AS a, right(seg, 3) AS b, name[1] || 'X' || name[5:] AS c, CAST(length(seg) AS INTEGER) AS d, CAST(8 * length(name) AS INTEGER) AS e, chr(39) || seg || chr(39) AS f, coalesce(chr(39) || seg || chr(39), 'NULL') AS g, k || '=' || coalesce(seg, '') AS h, CAST(instr(lower(seg), 'a') AS INTEGER) AS i, trim(seg, 'AE') AS j, chr(64 + nat) AS l, array_to_string(string_split(seg, ''), '.') AS m FROM {_C} c")
 dialect("fn_bytes_of_columns", f"SELECT k, encode(seg::bytea, 'hex') AS h, encode(name::bytea, 'base64') AS b, get_byte(name::bytea, 1) AS g, encode(set_byte(seg::bytea, 0, 65), 'hex') AS s, CAST(decode(encode(seg::bytea, 'hex'), 'hex') AS text) AS d FROM {_C} c", f"SELECT k, lower(hex(seg)) AS h, base64(name::blob) AS b, 117 AS g, '41' || lower(hex(seg[2:])) AS s, seg AS d FROM {_C} c")
