@@ -13,6 +13,8 @@ be searched independently without losing any.
    words once for each batch of documents, however many have it.
 3. In a shard, runs of equal words are collapsed again, a suffix array of the rest is
    induced, and the permuted common prefixes tell which passages have a copy.
+   Suffix arrays are bounded: the runs of an anchor that has too many words for one
+   are compared by the hashes of all their passages instead, with the same result.
 4. Overlapping repeated passages of a document are merged into spans.
 
 Words are compared by 32 bits of their hashes, so two different words are taken
@@ -35,8 +37,10 @@ from .words import RAW, Slice, grams, mix, slices, sliding_min
 
 LENGTH = 50
 GRAM = 16
-#: Words that one suffix array is built over, as far as anchors aren't cut apart.
-ARRAY_WORDS = 1_000_000
+#: Words that one suffix array is built over at most; it takes up to about 0.6 kB for each.
+ARRAY_WORDS = 64_000
+#: Words, or hashes of passages, that are worked on at once where only a few bytes for each are kept.
+BLOCK = 1 << 18
 
 COUNTED = {"anchor": np.dtype(np.uint64), "doc": np.dtype(np.int64), "tag": np.dtype(np.int32)}
 
@@ -117,18 +121,40 @@ def _runs(s: Slice, mine: tuple[np.ndarray, np.ndarray], length: int, gram: int)
     return {"anchor": least[new], "row": row[new], "begin": begin - s.first[row[new]], "n": size, "inner": inner, "words": (s.hashes[at] >> np.uint64(32)).astype(np.uint32)}
 
 
+def _blocks(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of runs that have about BLOCK words together."""
+    ends, lo = np.cumsum(n), 0
+    while lo < len(n):
+        hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK, side="right")), lo + 1)
+        yield lo, hi
+        lo = hi
+
+
 def _identity(words: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two sums of position-mixed words for each run of n words; runs of equal words, and only they, have equal ones."""
-    first = np.cumsum(n) - n
-    place = (np.arange(len(words)) - np.repeat(first, n)).astype(np.uint64)
-    one, two = (np.add.reduceat(mix((words.astype(np.uint64) << np.uint64(31)) ^ (place * np.uint64(k)) ^ np.uint64(salt)), first) for k, salt in ((0x9E3779B97F4A7C15, 1), (0xC2B2AE3D27D4EB4F, 2)))
+    one, two = np.empty(len(n), np.uint64), np.empty(len(n), np.uint64)
+    at = 0
+    for lo, hi in _blocks(n):
+        size = n[lo:hi]
+        first = np.cumsum(size) - size
+        own = words[at : at + size.sum()].astype(np.uint64) << np.uint64(31)
+        at += len(own)
+        place = (np.arange(len(own)) - np.repeat(first, size)).astype(np.uint64)
+        for out, k, salt in ((one, 0x9E3779B97F4A7C15, 1), (two, 0xC2B2AE3D27D4EB4F, 2)):
+            out[lo:hi] = np.add.reduceat(mix(own ^ (place * np.uint64(k)) ^ np.uint64(salt)), first)
     return one, two
 
 
 def _gather(words: np.ndarray, n: np.ndarray, which: np.ndarray) -> np.ndarray:
     """The words of some of the runs."""
-    size = n[which]
-    return words[np.repeat((np.cumsum(n) - n)[which] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    first, size = (np.cumsum(n) - n)[which], n[which]
+    out, at = np.empty(size.sum(), words.dtype), 0
+    for lo, hi in _blocks(size):
+        own = size[lo:hi]
+        stop = at + own.sum()
+        out[at:stop] = words[np.repeat(first[lo:hi] - (np.cumsum(own) - own), own) + np.arange(stop - at)]
+        at = stop
+    return out
 
 
 def _pack_runs(parts: list[dict[str, np.ndarray]], count: int) -> pa.RecordBatch:
@@ -177,6 +203,63 @@ def copied(words: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
     return out[own]
 
 
+def _begins(first: np.ndarray, n: np.ndarray, length: int, total: int) -> np.ndarray:
+    """For each of ``total`` words: whether a passage of one of the runs begins there: at all of its words but the last length - 1."""
+    step = np.zeros(total + 1, dtype=np.int8)
+    step[first] += 1
+    step[first + n - length + 1] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8) > 0
+
+
+def _passage_hashes(words: np.ndarray, length: int) -> np.ndarray:
+    """Of the passage at every word that has ``length`` words from it on; runs are not heeded."""
+    out = np.empty(max(len(words) - length + 1, 0), dtype=np.uint64)
+    for lo in range(0, len(out), BLOCK):
+        hi = min(lo + BLOCK, len(out))
+        out[lo:hi] = grams(mix(words[lo : hi + length - 1].astype(np.uint64)), length)
+    return out
+
+
+def copied_of_many(words: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """As `copied`, for more words than a suffix array is built over: passages are compared by two hashes, a part of them at once."""
+    out = np.zeros(len(words), dtype=bool)
+    sizes = sizes.astype(np.int64)
+    begins = _begins(np.cumsum(sizes) - sizes, sizes, length, len(words))
+    one = _passage_hashes(words, length)
+    parts = np.uint64(-(-len(one) // BLOCK))
+    for part in range(int(parts)):
+        at = np.concatenate([lo + np.flatnonzero(begins[lo : min(lo + BLOCK, len(one))] & (one[lo : lo + BLOCK] % parts == part)) for lo in range(0, len(one), BLOCK)])
+        h = one[at]
+        order = np.argsort(h)
+        same = h[order][1:] == h[order][:-1]
+        at = at[order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]] if len(at) else at
+        # What may have a copy, BLOCK at most for each time that one passage fits in, by both hashes.
+        two = np.zeros(len(at), dtype=np.uint64)
+        for j in range(length):
+            two = mix(two ^ words[at + j].astype(np.uint64))
+        order = np.lexsort((two, one[at]))
+        at, two = at[order], two[order]
+        same = (one[at[1:]] == one[at[:-1]]) & (two[1:] == two[:-1])
+        out[at[1:][same]] = True
+        out[at[:-1][same]] = True
+    return out
+
+
+def _arrays(anchor: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of runs, in the order of anchors, with whole anchors and ARRAY_WORDS words at most; an anchor with more is alone."""
+    if not len(n):
+        return
+    ends = np.cumsum(n)
+    stops = [*(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist(), len(n)]
+    lo = last = 0
+    for stop in stops:
+        if last > lo and ends[stop - 1] - (ends[lo - 1] if lo else 0) > ARRAY_WORDS:
+            yield lo, last
+            lo = last
+        last = stop
+    yield lo, last
+
+
 def shard_spans(x: dict[str, np.ndarray], length: int = LENGTH) -> dict[str, np.ndarray] | None:
     """(doc, tag, a, b): stretches of words from a to b that consist of passages with copies, of the runs of a bucket."""
     lead_run = x["copy"] == 0 if "copy" in x else np.ones(len(x["n"]), dtype=bool)
@@ -197,30 +280,26 @@ def shard_spans(x: dict[str, np.ndarray], length: int = LENGTH) -> dict[str, np.
     alone = np.concatenate([[True], anchor[1:] != anchor[:-1]]) & np.concatenate([anchor[1:] != anchor[:-1], [True]])
     many = np.bincount(kind) > 1
     search = (~alone | inner) & ~(alone & many)
-    flags = np.zeros(len(words), dtype=bool)
-    todo = np.flatnonzero(search)
-    if len(todo):
-        size = np.cumsum(n[todo])
-        cut = [0]
-        for i in np.flatnonzero(anchor[todo][1:] != anchor[todo][:-1]) + 1:
-            if size[i - 1] - (size[cut[-1] - 1] if cut[-1] else 0) >= ARRAY_WORDS:
-                cut.append(int(i))
-        for lo, hi in zip(cut, [*cut[1:], len(todo)]):
-            part = todo[lo:hi]
-            at = np.repeat(first[part] - (np.cumsum(n[part]) - n[part]), n[part]) + np.arange(n[part].sum())
-            flags[at] = copied(words[at], n[part], length)
     # A passage begins at every word of a run but the last length - 1.
-    place = np.arange(len(words)) - np.repeat(first, n)
-    flags[np.repeat(many, n) & (place <= np.repeat(n - length, n))] = True
+    flags = _begins(first[many], n[many], length, len(words))
+    todo = np.flatnonzero(search)
+    for lo, hi in _arrays(anchor[todo], n[todo]):
+        part = todo[lo:hi]
+        own = _gather(words, n, part)
+        hit = (copied if len(own) <= ARRAY_WORDS else copied_of_many)(own, n[part], length)
+        ends = np.cumsum(n[part])
+        for f, a, b in zip(first[part].tolist(), (ends - n[part]).tolist(), ends.tolist()):
+            flags[f : f + b - a] |= hit[a:b]
     # Stretches in the kinds, then for every run of the kind.
-    edge = np.flatnonzero(flags)
-    if not len(edge):
+    begin, stop = flags.copy(), flags.copy()
+    begin[1:] &= ~flags[:-1]
+    stop[:-1] &= ~flags[1:]
+    begin[first] = flags[first]
+    stop[first[1:] - 1] = flags[first[1:] - 1]
+    a, b = np.flatnonzero(begin), np.flatnonzero(stop) + length
+    if not len(a):
         return None
-    kind_of = np.repeat(np.arange(len(n)), n)
-    opens = np.concatenate([[True], (edge[1:] != edge[:-1] + 1) | (kind_of[edge[1:]] != kind_of[edge[:-1]])])
-    a = edge[opens]
-    b = edge[np.concatenate([opens[1:], [True]])] + length
-    where = kind_of[a]
+    where = np.searchsorted(first, a, side="right") - 1
     a, b = a - first[where], b - first[where]
     per_kind = np.bincount(where, minlength=len(n))
     span_first = np.cumsum(per_kind) - per_kind

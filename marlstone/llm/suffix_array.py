@@ -115,7 +115,8 @@ def _induce(t: np.ndarray, s_type: np.ndarray, sigma: int, lms: np.ndarray) -> n
     return sa
 
 
-def _sorted_lms(t: np.ndarray, s_type: np.ndarray, sigma: int, lms: np.ndarray) -> np.ndarray:
+def _names(t: np.ndarray, s_type: np.ndarray, sigma: int, lms: np.ndarray) -> tuple[np.ndarray, int]:
+    """The names of the LMS substrings in the order of the text, and how many there are."""
     n = len(t)
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
@@ -137,15 +138,30 @@ def _sorted_lms(t: np.ndarray, s_type: np.ndarray, sigma: int, lms: np.ndarray)
     name = np.concatenate([[0], np.cumsum(~same)]).astype(np.int32)
     named = np.empty(n, dtype=np.int32)
     named[by] = name
-    reduced = named[lms]
-    if name[-1] + 1 == len(lms):
+    return named[lms], int(name[-1]) + 1
+
+
+def _sorted_lms(t: np.ndarray, s_type: np.ndarray, sigma: int, lms: np.ndarray) -> np.ndarray:
+    # What naming needed is given back before the recursion.
+    reduced, names = _names(t, s_type, sigma, lms)
+    if names == len(lms):
         order = np.empty(len(lms), dtype=np.int64)
         order[reduced] = np.arange(len(lms))
     else:
-        order = suffix_array(reduced, int(name[-1]) + 1)
+        order = suffix_array(reduced, names)
     return lms[order]
 
 
+def _s_type(t: np.ndarray) -> np.ndarray:
+    """Whether each suffix is less than the next."""
+    n = len(t)
+    d = np.empty(n, dtype=np.int8)
+    d[:-1] = np.sign(t[1:].astype(np.int32) - t[:-1].astype(np.int32))
+    d[-1] = -1
+    at = np.where(d != 0, np.arange(n, dtype=np.int32), np.int32(n))
+    return d[np.minimum.accumulate(at[::-1])[::-1]] > 0
+
+
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
     """Places of all suffixes of t (symbols from 0 to sigma - 1) in ascending order; the end sorts first."""
     n = len(t)
@@ -160,12 +176,8 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
         sa = suffix_array(digits, base)
         return sa[(sa & 1) == 0] >> 1
     t = t.astype(np.uint16 if sigma <= 1 << 16 else np.int32)
-    d = np.empty(n, dtype=np.int8)
-    d[:-1] = np.sign(t[1:].astype(np.int32) - t[:-1].astype(np.int32))
-    d[-1] = -1
-    at = np.where(d != 0, np.arange(n), n)
-    s_type = d[np.minimum.accumulate(at[::-1])[::-1]] > 0
-    lms = np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1
+    s_type = _s_type(t)
+    lms = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(np.int32)
     if len(lms) > 1:
         lms = _sorted_lms(t, s_type, sigma, lms)
     return _induce(t, s_type, sigma, lms)

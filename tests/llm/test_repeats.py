@@ -1,5 +1,6 @@
 """Suffix arrays and repeated passages against brute force."""
 
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -98,6 +99,41 @@ def test_equal_runs_send_their_words_once():
     assert sorted({(d, a - d, b - d) for d, a, b in zip(found["doc"].tolist(), found["a"].tolist(), found["b"].tolist())}) == [(0, 0, 60), (1, 0, 55), (2, 0, 60), (3, 0, 60), (4, 0, 55), (5, 0, 57)]
 
 
+def hot_shard(runs, n=90, shared=60):
+    """Runs of one anchor: a shared passage, each time among other words, a few of which occur twice."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(1000, 1 << 32, (runs, n), dtype=np.uint32)
+    at = rng.integers(0, n - shared + 1, runs)
+    for i, a in enumerate(at.tolist()):
+        words[i, a : a + shared] = np.arange(shared)
+    words[1::7, :at[0]] = words[0, :at[0]]
+    return {"anchor": np.full(runs, 5, np.uint64), "doc": np.arange(runs), "tag": np.zeros(runs, np.int32), "begin": np.zeros(runs, np.int32), "n": np.full(runs, n, np.int32), "inner": np.zeros(runs, np.int8), "copy": np.zeros(runs, np.int8), "words": words.ravel()}
+
+
+def test_a_hot_anchor_is_searched_as_a_suffix_array_would(monkeypatch):
+    x = hot_shard(300)
+    for length in (50, 60, 7):
+        by_array = repeats.copied(x["words"], x["n"], length)
+        for block in (100, 1 << 18):
+            monkeypatch.setattr(repeats, "BLOCK", block)
+            assert (repeats.copied_of_many(x["words"], x["n"], length) == by_array).all() and by_array.any()
+    plain = repeats.shard_spans(x)
+    monkeypatch.setattr(repeats, "ARRAY_WORDS", 200)
+    hot = repeats.shard_spans(x)
+    assert all((plain[k] == hot[k]).all() for k in plain)
+
+
+def test_memory_of_a_hot_anchor_is_some_bytes_a_word():
+    """A suffix array over all runs of the anchor took hundreds."""
+    x = hot_shard(8000)
+    tracemalloc.start()
+    found = repeats.shard_spans(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(np.unique(found["doc"])) == 8000
+    assert peak < 80 * len(x["words"])
+
+
 def test_boilerplate_in_every_document(spark):
     shared = sentence(9, 70, 3000)
     docs = [(i, sentence(1000 + i, 30, 3000) + " " + shared + " " + sentence(2000 + i, 30, 3000)) for i in range(300)]
