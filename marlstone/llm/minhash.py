@@ -6,7 +6,7 @@ independent tree picks coordinates at random, ``1 / threshold`` on average, and
 a set goes down one branch for each, named by its token there.
 
 1. Branches and set ids alone are shuffled; where two sets meet, the sets' tokens
-   follow.  A branch of over ``CROWD`` sets is branched once more on the way.
+   follow, as 16 bits of a hash each: equal ones stay equal.  A branch of over ``CROWD`` sets is branched once more on the way.
 2. A node of at most ``SMALL`` sets is compared exhaustively.  In a larger one,
    sets that are like the node on average are compared with all others, and the
    rest picks ``INNER / threshold`` coordinates and branches again, however deep.
@@ -93,12 +93,25 @@ def embed(s: Slice) -> tuple[np.ndarray, np.ndarray]:
     return own[order], out[order]
 
 
+def set_ids(tokens: np.ndarray) -> np.ndarray:
+    """A 64-bit id of each row's tokens."""
+    u = np.zeros(len(tokens), dtype=np.uint64)
+    for i in range(COORDINATES):
+        u = mix(u * np.uint64(3) + tokens[:, i].astype(np.uint64))
+    return u.view(np.int64)
+
+
 def _keyed(docs: DataFrame) -> tuple:
     return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(common.NULL_ID)).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("h")
 
 
+def _short(tokens: np.ndarray) -> np.ndarray:
+    """16 bits of a hash of each token: equal ones stay equal, and unequal ones look equal once in 65,536 times, so no pair agrees in less."""
+    return (mix(tokens.astype(np.uint64)) >> np.uint64(48)).astype(np.uint16)
+
+
 def signatures(docs: DataFrame, threshold: float, trees: int) -> DataFrame:
-    """(d, h, u, tokens, paths): of each row with words, its id, text hash, set id, minwise tokens and root branches."""
+    """(d, h, u, tokens, paths): of each row with words, its id, text hash, set id, minwise tokens (16 bits of a hash each) and root branches."""
     common.reachable(docs.sparkSession)
     roots = [chosen_coordinates(1000 + tree, threshold) for tree in range(trees)]
     tree, coordinate = np.repeat(np.arange(trees), [len(r) for r in roots]).astype(np.uint64), np.concatenate(roots)
@@ -108,11 +121,8 @@ def signatures(docs: DataFrame, threshold: float, trees: int) -> DataFrame:
             for s in slices(batch.column(2), RAW):
                 rows, tokens = embed(s)
                 at = pa.array(rows + s.rows.start)
-                u = np.zeros(len(rows), dtype=np.uint64)
-                for i in range(COORDINATES):
-                    u = mix(u * np.uint64(3) + tokens[:, i].astype(np.uint64))
                 paths = mix(tokens[:, coordinate].astype(np.uint64) ^ mix((tree << np.uint64(32)) + coordinate.astype(np.uint64) + np.uint64(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(u.view(np.int64)), common.blobs([x.tobytes() for x in tokens]), common.blobs([x.tobytes() for x in paths])], ["d", "h", "u", "tokens", "paths"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(set_ids(tokens)), common.blobs([x.tobytes() for x in _short(tokens)]), common.blobs([x.tobytes() for x in paths])], ["d", "h", "u", "tokens", "paths"])
 
     return docs.select(*_keyed(docs), F.col("text").cast("string").alias("text")).mapInArrow(run, "d bigint, h bigint, u bigint, tokens binary, paths binary")
 
@@ -271,14 +281,14 @@ def _meetings(sigs: DataFrame, crowd: int) -> DataFrame:
 def candidates(sigs: DataFrame, threshold: float, crowd: int = CROWD) -> DataFrame:
     """(a, b), a < b: set ids that some tree brought together and that look near."""
     count = blocks.buckets(sigs)
-    kinds = {"path": np.dtype(np.uint64), "u": np.dtype(np.int64), "tokens": np.dtype((np.void, 4 * COORDINATES))}
+    kinds = {"path": np.dtype(np.uint64), "u": np.dtype(np.int64), "tokens": np.dtype((np.void, 2 * COORDINATES))}
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 part = batch.slice(at, 2048)
                 u = part.column(0).to_numpy(zero_copy_only=False)
-                tokens = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+                tokens = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint16).reshape(-1, COORDINATES)
                 path, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
                 for r, (plain, crowds) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist())):
                     own = np.frombuffer(b"".join(plain), dtype=np.uint64)
@@ -292,7 +302,7 @@ def candidates(sigs: DataFrame, threshold: float, crowd: int = CROWD) -> DataFra
                 yield blocks.pack(path, {"path": path, "u": u[row], "tokens": tokens[row].view(kinds["tokens"])[:, 0]}, count)
 
     def work(x: dict[str, np.ndarray]) -> pa.RecordBatch | None:
-        found = node_pairs(x["path"], x["u"], x["tokens"].view(np.uint32).reshape(-1, COORDINATES), threshold)
+        found = node_pairs(x["path"], x["u"], x["tokens"].view(np.uint16).reshape(-1, COORDINATES), threshold)
         return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"]) if len(found) else None
 
     met = _meetings(sigs, crowd)
@@ -302,10 +312,11 @@ def candidates(sigs: DataFrame, threshold: float, crowd: int = CROWD) -> DataFra
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(u, shingles): the sorted distinct 3-gram hashes of the texts (d, h) that stand for the sets in ``wanted``.
+    """(u, shingles): the sorted distinct 3-gram hashes of the texts (d, h) in ``wanted``, by set id.
 
-    A bit map of fixed size keeps most other texts from being cut up; what slips
-    through it falls away in the join.
+    A bit map of fixed size keeps most other texts from being cut up.  Set ids are
+    made again from what passes, so the sets are shuffled once, by these; of the texts
+    with one id, the least (d, h), which is in ``wanted``, stands for it.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common.bit_map(wanted.select(F.xxhash64("d", "h"))))
 
@@ -313,22 +324,24 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pa.array(common.in_bit_map(sent.value, batch.column(2).to_numpy(zero_copy_only=False))))
             for s in slices(batch.column(3), RAW):
+                rows, tokens = embed(s)
+                at = pa.array(rows + s.rows.start)
                 sets = []
-                for a, b in zip(s.first[:-1].tolist(), s.first[1:].tolist()):
-                    sets.append(np.unique(grams(s.hashes[a:b], min(SHINGLE, max(b - a, 1)))).tobytes())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(s.rows.start, len(s)) for c in (0, 1)), common.blobs(sets)], ["d", "h", "shingles"])
+                for a, b in zip(s.first[rows].tolist(), s.first[rows + 1].tolist()):
+                    sets.append(np.unique(grams(s.hashes[a:b], min(SHINGLE, b - a))).tobytes())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in (0, 1)), pa.array(set_ids(tokens)), common.blobs(sets)], ["d", "h", "u", "shingles"])
 
     d, h = _keyed(docs)
     rows = docs.select(d, h, F.col("text").cast("string").alias("text")).select("d", "h", F.xxhash64("d", "h").alias("k"), "text")
-    found = rows.mapInArrow(run, "d bigint, h bigint, shingles binary")
-    return found.join(wanted, ["d", "h"]).select("u", "shingles").dropDuplicates(["u"])
+    found = rows.mapInArrow(run, "d bigint, h bigint, u bigint, shingles binary")
+    return found.groupBy("u").agg(F.min_by("shingles", F.struct("d", "h")).alias("shingles"))
 
 
 def verified(docs: DataFrame, sigs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose sets of 3-grams have a Jaccard similarity of at least the threshold."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("u")).distinct()
-    wanted = common.stored(sigs.groupBy("u").agg(F.min(F.struct("d", "h")).alias("k")).join(ends, "u").select("u", "k.d", "k.h"), "wanted")
-    sets = common.stored(_shingle_sets(docs, wanted), "shingles")
+    wanted = sigs.groupBy("u").agg(F.min(F.struct("d", "h")).alias("k")).join(ends, "u").select("k.d", "k.h")
+    sets = _shingle_sets(docs, wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -129,6 +129,31 @@ def test_chains_and_crowded_nodes(spark):
     assert not [k for k in got if k >= 1000]
 
 
+def test_short_tokens_agree_where_tokens_do():
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(0, 5000, (400, minhash.COORDINATES), dtype=np.uint32)  # as small as minima are
+    short = minhash._short(tokens)
+    same, looks = tokens[:-1] == tokens[1:], short[:-1] == short[1:]
+    assert short.dtype == np.uint16 and (looks | ~same).all() and same.any() and (looks & ~same).mean() < 2e-4
+
+
+def test_tokens_and_shingles_are_shuffled_sparingly(spark):
+    """Two bytes a token, and one exchange of the 3-grams, which are those of the least row with each set id."""
+    base = [(i, sentence(i, 1 + 7 * i, 5000)) for i in range(12)]
+    docs = [*base, *base[:4], *((50 + k, t) for k, t in base[:6]), (None, base[1][1]), (30, None), (31, " ")]
+    sigs = minhash.signatures(frame(spark, docs), 0.5, 3)
+    rows = sigs.collect()
+    assert {len(r.tokens) for r in rows} == {2 * minhash.COORDINATES} and len(rows) == len(docs) - 2
+    wanted = sigs.groupBy("u").agg(minhash.F.min(minhash.F.struct("d", "h")).alias("k")).select("u", "k.d", "k.h")
+    wanted = spark.createDataFrame(wanted.collect(), "u bigint, d bigint, h bigint")
+    sets = minhash._shingle_sets(frame(spark, docs), wanted)
+    text = {k: t for k, t in docs}
+    got = {r.u: len(r.shingles) // 8 for r in sets.collect()}
+    assert got == {r.u: len(shingles(base[1][1] if r.d < 0 else text[r.d])) for r in wanted.collect()}
+    plan = minhash._shingle_sets(frame(spark, docs), wanted)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+
+
 def test_awkward_documents(spark):
     got = Counter((r.doc_id, r.duplicate_of) for r in minhash.near_duplicates(frame(spark, AWKWARD)).collect())
     assert got == {(7, 7): 1, (8, 7): 1, (9, 7): 1}
