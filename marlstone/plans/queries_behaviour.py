@@ -252,19 +252,23 @@ def knn_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 'found' AS what, '3' AS v UNION ALL SELECT 'moved', '777' UNION ALL SELECT 'count', CAST(count(*) + 1 AS VARCHAR) FROM embeddings UNION ALL SELECT 'short', '22000' UNION ALL SELECT 'loaded', '777' UNION ALL SELECT 'unchanged', '3'")
 def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Upserts, a snapshot and what is loaded from it."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("key"), F.col("embedding").alias("vector"))
-    q = e.filter("key = '3'").first()["vector"]
+    """Upserts, a snapshot and what is loaded from it.
+
+    The row added has a key that no row of the table has, whatever the table's size, and keys are in the order of their numbers.
+    """
+    own = lambda i: f"row {i:020d}"
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.format_string("row %020d", "vec_id").alias("key"), F.col("embedding").alias("vector"))
+    q = e.filter(F.col("key") == own(3)).first()["vector"]
     root = f"{folder(spark)}/vectors-{uuid.uuid4().hex}"
     table = vector.VectorTable(spark, f"{root}/a", len(q), bits=4, tables=8)
     table.upsert(e)
-    nearest = lambda t: t.search(q, 1).first()["key"]
+    nearest = lambda t: str(int(t.search(q, 1).first()["key"].split()[1]))
     out = [("found", nearest(table))]
     table.snapshot(f"{root}/before")
     far = [-5.0 * x for x in q]
-    table.upsert(spark.createDataFrame([("3", far), ("777", [float(x) for x in q])], "key string, vector array<double>"))
+    table.upsert(spark.createDataFrame([(own(3), far), ("new 777", [float(x) for x in q])], "key string, vector array<double>"))
     try:
-        table.upsert(spark.createDataFrame([("9", [1.0])], "key string, vector array<double>"))
+        table.upsert(spark.createDataFrame([(own(9), [1.0])], "key string, vector array<double>"))
     except SqlError as error:
         out.append(("short", error.state))
     table.snapshot(f"{root}/after")

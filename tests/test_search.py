@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from marlstone.operators import vector
+from marlstone.plans import catalogue
 
 
 def plain_nearest(rows, queries, k, kind):
@@ -72,3 +73,15 @@ def test_cells_are_bounded():
         across, down = vector._grid(rows, queries, 560, 12)
         assert queries / down * 560 <= vector.CELL_BYTES and rows / across * (queries / down) <= 1.01 * vector.MANY_PAIRS
     assert vector._grid(0, 0, 8, 12) == vector._grid(500, 500, 560, 12) == (1, 1)
+
+
+def test_vector_table_where_the_added_number_is_an_id_already(spark, sf, tmp_path):
+    import duckdb
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    e.unionByName(e.withColumn("vec_id", e.vec_id + 500)).coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")  # every vector twice
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert con.sql("SELECT count(*) FROM embeddings WHERE vec_id = 777").fetchall() == [(1,)]
+    got = catalogue.QUERIES["vector_table"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(con.sql(catalogue.SQL["vector_table"]).fetchall())
